@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encode", "lookalikes")
+MODULES = ("encode", "leakage", "lookalikes")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
