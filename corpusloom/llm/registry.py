@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encode", "leakage", "lookalikes")
+MODULES = ("encode", "leakage", "lookalikes", "quality")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
