@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encode", "leakage", "lookalikes", "quality", "truncation")
+MODULES = ("encode", "language", "leakage", "lookalikes", "quality", "truncation")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
