@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +28,8 @@ UNKNOWN = "unknown"
 SAMPLE = 250
 ORDER = 5
 DISCOUNT = 0.75
+#: A unit whose share in a language's sample is smaller than this part of its share in another is taken for foreign.
+FOREIGN = 0.3
 #: Standard deviations above a language's own cross-entropy at which a segment is rejected.
 REJECT_SD = 6.0
 #: Letters (characters without spaces count twice) that a segment needs to be a sentence of its own.
@@ -177,6 +179,17 @@ def parts(low: str) -> tuple[list[str], list[str]]:
     return WORD.findall(low), pairs
 
 
+def _own(units: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Without the units that another language uses far more often: what wrong labels and foreign sentences brought in."""
+    counts = {lang: Counter(us) for lang, us in units.items()}
+    totals = {lang: max(1, len(us)) for lang, us in units.items()}
+    most: dict[str, float] = {}
+    for lang, own in counts.items():
+        for u, n in own.items():
+            most[u] = max(most.get(u, 0.0), n / totals[lang])
+    return {lang: [u for u in us if counts[lang][u] / totals[lang] >= FOREIGN * most[u]] for lang, us in units.items()}
+
+
 class Detector:
     """Segments and their languages."""
 
@@ -197,6 +210,7 @@ class Detector:
     def _fit(cls, labelled: list[tuple[str, str]]) -> Detector:
         words: dict[str, list[str]] = defaultdict(list)
         pairs: dict[str, list[str]] = defaultdict(list)
+        spaced: Counter = Counter()
         for lang, text in labelled:
             if lang not in LANGUAGES or not text:
                 continue
@@ -204,12 +218,17 @@ class Detector:
             w, p = parts(low)
             if 2 * len(p) >= sum(map(len, w)):
                 pairs[lang] += p
-            else:
-                words[lang] += [f"^{x}$" for x in w]
-                plain = strip_accents(low)
-                if plain != low:
-                    words[lang] += [f"^{x}$" for x in WORD.findall(plain)]
-        out = cls(KneserNey.fit(words, ORDER), KneserNey.fit(pairs, 2), {})
+                spaced[lang] -= 1
+                continue
+            words[lang] += [f"^{x}$" for x in w]
+            spaced[lang] += 1
+            plain = strip_accents(low)
+            if plain != low:
+                words[lang] += [f"^{x}$" for x in WORD.findall(plain)]
+        # a language is written either way; texts of the other kind have wrong labels
+        words = {lang: us for lang, us in words.items() if spaced[lang] > 0}
+        pairs = {lang: us for lang, us in pairs.items() if spaced[lang] <= 0}
+        out = cls(KneserNey.fit(_own(words), ORDER), KneserNey.fit(_own(pairs), 2), {})
         out.warm(text for _, text in labelled)
         costs: dict[str, list[float]] = defaultdict(list)
         for lang, text in labelled:
