@@ -240,6 +240,10 @@ class Detector:
 
     def _indexes(self, kind: int, seqs: list[str]) -> list[int]:
         memory = self.memory[kind]
+        try:
+            return [memory[s] for s in seqs]
+        except KeyError:
+            pass
         new = [s for s in dict.fromkeys(seqs) if s not in memory]
         if new:
             if len(memory) > 300_000:
@@ -261,12 +265,18 @@ class Detector:
             w, p = parts(clean(text))
             words.update(w)
             pairs.update(p)
+        self.warm_units(words, pairs)
+
+    def warm_units(self, words: set[str], pairs: set[str]) -> None:
         self._indexes(0, list(words))
         self._indexes(1, list(pairs))
 
     def measure(self, text: str) -> tuple[str | None, float, float, int]:
         """(language, cross-entropy a character, confidence, letters) without rejection; None without a word."""
-        w, p = parts(clean(text))
+        return self.measure_parts(*parts(clean(text)))
+
+    def measure_parts(self, w: list[str], p: list[str]) -> tuple[str | None, float, float, int]:
+        """The same from the words and pairs of a text."""
         n_words = sum(map(len, w))
         if not n_words and not p:
             return None, 0.0, 0.0, 0
@@ -274,14 +284,18 @@ class Detector:
         at = self._indexes(kind, seqs)
         total = self.rows[kind][at].sum(0)
         best = int(total.argmax())
-        gap = float(np.sort(total)[-1] - np.sort(total)[-2])
-        return LANGUAGES[best], float(-total[best]) / n, 1 / (1 + float(np.exp(-min(30.0, gap)))), 2 * len(p) if kind else n_words
+        high = float(total[best])
+        total[best] = -np.inf
+        gap = high - float(total.max())
+        return LANGUAGES[best], -high / n, 1 / (1 + float(np.exp(-min(30.0, gap)))), 2 * len(p) if kind else n_words
 
     def language(self, text: str | None) -> tuple[str, float]:
         """(language or unknown, confidence) of a text taken as a whole."""
-        if not text:
-            return UNKNOWN, 1.0
-        found, cost, sure, _ = self.measure(text)
+        return self.judge(*parts(clean(text))) if text else (UNKNOWN, 1.0)
+
+    def judge(self, w: list[str], p: list[str]) -> tuple[str, float]:
+        """The same from the words and pairs of a text."""
+        found, cost, sure, _ = self.measure_parts(w, p)
         if found is None:
             return UNKNOWN, 1.0
         return (UNKNOWN, 1 - sure) if self.limits and cost > self.limits.get(found, 99.0) else (found, sure)
@@ -380,11 +394,12 @@ def group_languages(texts: DataFrame, detector: Detector) -> DataFrame:
         own = Detector(*models, limits)
 
         def work(keys: list, values: list) -> Iterator[tuple]:
-            own.warm(t for t in values if t)
+            units = [parts(clean(t)) if t else ([], []) for t in values]
+            own.warm_units({x for w, _ in units for x in w}, {x for _, p in units for x in p})
             tally: dict[tuple[str, str], int] = {}
-            for k, text in zip(keys, values, strict=True):
+            for k, text, (w, p) in zip(keys, values, units, strict=True):
                 if text:
-                    lang, _ = own.language(text)
+                    lang, _ = own.judge(w, p)
                     if lang != UNKNOWN:
                         tally[k, lang] = tally.get((k, lang), 0) + len(text)
             for (k, lang), n in tally.items():
