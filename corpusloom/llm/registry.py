@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("encode", "language", "leakage", "lookalikes", "quality", "scans", "truncation")
+MODULES = ("encode", "language", "leakage", "lookalikes", "quality", "scans", "sentences", "truncation")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
