@@ -29,6 +29,7 @@ NEVER = frozenset(
 )
 #: Abbreviations that end a sentence if a new one follows.
 MAYBE = frozenset("etc usw inc ltd co corp a.m p.m u.s u.k e.u al ff f jr uu ee.uu bros dept est min max ibid".split())
+ABBREVIATED = NEVER | MAYBE
 #: Those that are abbreviations only before a figure.
 BEFORE_FIGURE = frozenset("no art s p t ch cap sec fig tab ed vol d m f".split())
 #: German words before an ordinal.
@@ -287,7 +288,7 @@ class Splitter:
 OPENINGS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 #: Openers are kept if so many of their uses open (end) a sentence; the collected set is bounded by the next constant.
 OPENS, SEEN, MAX_OPENERS = 0.3, 3, 100_000
-AFTER_STOP = re.compile(r"(?<=[^\W\d_]{3}[.!?])\s+([^\W\d_][\w-]*)|(?:\A|\n\s*\n)\s*([^\W\d_][\w-]*)")
+AFTER_STOP = re.compile(r"([^\W\d_]{3,})[.!?]\s+([^\W\d_][\w-]*)|(?:\A|\n\s*\n)\s*([^\W\d_][\w-]*)")
 AFTER_WIDE = re.compile(rf"(?:\A|[。！？]|\n\s*\n)\s*([{SPACELESS}]{{2}})")
 
 
@@ -301,8 +302,8 @@ def opener_counts(texts: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 for m in AFTER_STOP.finditer(text):
-                    word = m.group(1) or m.group(2)
-                    if word[0].islower():
+                    word = m.group(2) or m.group(3)
+                    if word[0].islower() and not (m.group(1) and m.group(1).lower() in ABBREVIATED):
                         out["s", word] += 1
                 out.update(("t", w) for w in WORD_RIGHT.findall(text) if w[0].islower() and w.isascii())
                 out.update(("h", w) for w in AFTER_WIDE.findall(text))
