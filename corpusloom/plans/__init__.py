@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("documents", "structure", "drift")
+MODULES = ("documents", "structure", "relational", "drift")
 
 
 def all_queries() -> dict[str, Callable]:
