@@ -18,10 +18,17 @@ def choose_limit(limit: int | None) -> int:
 
 
 def is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the parsed plan of a statement only reads: its root is checked, not its first word."""
+    """Whether the parsed plan of a statement only reads: all its nodes are checked, not its first word."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    root = plan.getClass().getSimpleName()
-    return root not in ("SetCatalogAndNamespace", "ExplainCommand") and WRITES.match(root) is None and "Command" not in root
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if WRITES.match(kind) or "Command" in kind:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def bounded_sql(spark: SparkSession, sql: str, limit: int | None = None, allow_writes: bool = False) -> tuple[dict, DataFrame]:
