@@ -40,17 +40,15 @@ def count_in(words: Column, entries: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*entries))).cast("bigint")
 
 
+def nominal_forms() -> list[str]:
+    """Every word that is a suffix on a known verb's stem: the verb itself, or without its closing e, y or ate."""
+    stems = {v[: len(v) - len(end)] for v in VERBS for end in ("", "e", "y", "ate") if v.endswith(end) and len(v) > len(end)}
+    return sorted({s + suffix for s in stems for suffix in NOMINAL_SUFFIXES} - set(NO_NOMINAL))
+
+
 def is_nominal(w: Column) -> Column:
-    """A suffix on a known verb's stem (itself, or with e or y restored), plurals included, denied words left out."""
-    base = F.regexp_replace(w, r"s$", "")
-    out = F.lit(False)
-    for suffix in NOMINAL_SUFFIXES:
-        stem = F.regexp_replace(base, f"{suffix}$", "")
-        known = F.lit(False)
-        for end in ("", "e", "y", "ate"):
-            known = known | F.concat(stem, F.lit(end)).isin(*VERBS)
-        out = out | (base.endswith(suffix) & (F.length(base) > len(suffix)) & known)
-    return out & ~base.isin(*NO_NOMINAL)
+    """A nominal form or its plural, by one look-up in generated code."""
+    return F.regexp_replace(w, r"s$", "").isin(*nominal_forms())
 
 
 def is_past(w: Column) -> Column:

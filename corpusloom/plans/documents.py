@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import stats
+from corpusloom.functions import split, stats
 from corpusloom.functions import text as tx
 from corpusloom.operators import corpus, metrics
-from corpusloom.session import table
+from corpusloom.session import table, texts
 
 W = "[A-Za-z][A-Za-z''-]*"
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "section")
+    return texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "section")
 
 
 def sql_count(expr: str, pattern: str) -> str:
@@ -90,7 +90,7 @@ def draft_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mtld_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.round(tx.mtld(tx.tokens(F.col("text"))), 6).alias("mtld"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(split.mtld_udf()(F.col("text")), 6).alias("mtld"))
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

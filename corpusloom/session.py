@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scans under so many bytes a core are looked at for their number of splits.
+SMALL_SPLIT = 16 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that costs much more than reading: a small scan with fewer splits than cores is spread over them.
+
+    Large tables are read as they are; whether one is small is known from its size in the catalog of files.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT and df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors can't undo it.
 

@@ -90,6 +90,8 @@ def test_mtld(spark):
         want = loop_mtld(words) if len(words) >= 20 else None
         assert (value is None) == (want is None)
         assert want is None or abs(value - want) < 1e-9
+        got = split.mtld_of(words)
+        assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-9)
 
 
 def test_quantiles_by_brute_force(spark):
