@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows, once
-from corpusloom.session import table
+from corpusloom.session import texts as table
 
 #: Fixed values of the public vocabulary byte_bpe_50k: the pattern that splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows
-from corpusloom.session import table
+from corpusloom.session import texts as table
 
 LANGUAGES = ("ar", "de", "en", "es", "fr", "hi", "it", "ja", "nl", "pt", "ru", "th", "zh")
 UNKNOWN = "unknown"

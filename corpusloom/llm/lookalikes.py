@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows
-from corpusloom.session import table
+from corpusloom.session import texts as table
 
 #: Letters of Latin, Cyrillic and Greek that have the same shape, in this order; a blank where there's none.
 LOOKALIKES = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows
-from corpusloom.session import table
+from corpusloom.session import texts as table
 
 #: Frequent function words of the languages with spaces.
 COMMON = frozenset(

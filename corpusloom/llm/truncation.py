@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows
 from corpusloom.llm.quality import content_class
-from corpusloom.session import checkpoint, table
+from corpusloom.session import checkpoint
+from corpusloom.session import texts as table
 
 SIGN = re.compile(r"\s?(?:\.\.\.|…|\[\s?(?:\.\.\.|…)\s?\]|\((?:\.\.\.|…)\)|[\[(<](?:truncated|cut|cut off|more|snip)[\])>])\s*$", re.I)
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
