@@ -40,7 +40,9 @@ TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 CELL_SEP = (("|", re.compile(r"\s*\|\s*")), ("\t", re.compile(r"\t")), ("&", re.compile(r"\s*&\s*")), (";", re.compile(r";\s*")), (",", re.compile(r",\s+|,(?=\S)")), ("  ", re.compile(r" {2,}")))
 CELL_NUMBER = re.compile(r"[<>≈~]?[-+−]?[\d.,]+\s?%?|n/a|[—–-]+|", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+#: Signs that are no part of running text; those that also divide cells are counted apart.
 ODD = re.compile(r"[^\w\s.,;:!?'\"()\-–—“”‘’«»„‚%/…。，、；：！？（）《》“”「」『』·　]")
+DIVIDERS = "|&\\"
 C1 = re.compile("[\x80-\x9f]")
 BROKEN = re.compile(r"\\x[0-9a-f]{2}|�|□|¿½|ï¿½")
 LONG = re.compile(r"[A-Za-z0-9+/=_-]{60,}")
@@ -130,7 +132,7 @@ def is_table(text: str, lines: list[str]) -> bool:
     for mark, cut in CELL_SEP:
         if sum(mark in r for r in rows) < 0.7 * len(rows):
             continue
-        split = [[c.strip() for c in cut.split(r.strip().strip("|").removesuffix("\\\\").strip())] for r in rows if mark in r]
+        split = [[c.strip() for c in cut.split(r.strip().strip("|").rstrip(mark.strip() or None).removesuffix("\\\\").strip())] for r in rows if mark in r]
         split = [r for r in split if not all(set(c) <= set("-=:+ ") for c in r)] or split
         widths = Counter(map(len, split))
         width, count = widths.most_common(1)[0]
@@ -168,33 +170,31 @@ def is_list(lines: list[str]) -> bool:
     return short >= 0.9 * len(lines) and ended <= 0.1 * len(lines) and begins >= 0.8 * len(lines)
 
 
-def is_junk(text: str) -> bool:
-    """Signs and words that say nothing: symbols, broken encodings, encoded bytes, empty markup, one word over and over."""
+def is_unreadable(text: str) -> bool:
+    """Signs that say nothing: symbols, broken encodings, encoded bytes, empty markup, letters that make no words."""
     n = len(text)
-    if n > 20:
-        if not text.isascii() and len(C1.findall(text)) > 0.03 * n:
-            return True
-        broken = len(BROKEN.findall(text))
-        if broken >= 4 and broken * 4 > 0.3 * n:
-            return True
-        if "<" in text and sum(map(len, TAG.findall(text))) > 0.6 * n:
-            return True
-        if n - sum(map(len, WORD.findall(text))) > 0.5 * n and len(ODD.findall(text)) > 0.3 * n:
-            return True
-        if (found := LONG.search(text)) and len(found.group()) > 0.7 * n and len(CAPS.findall(text)) > n / 12:
-            return True
-    low = text.lower()
-    words = low.split()
-    if n > 20 and text.isascii() and len(words) >= 4:
-        letters = sum(map(len, WORD.findall(text)))
-        vowels = sum(map(low.count, "aeiouy"))
-        if letters > 0.6 * n and vowels < 0.15 * letters:
-            return True
-    if len(words) >= 8:
-        # an n-gram over half of the characters leaves few distinct words, so the others need no counting
-        if len(set(words)) <= 0.5 * len(words) and _ngram_coverage(words) > 0.5:
-            return True
-    return False
+    if n <= 20:
+        return False
+    if not text.isascii() and len(C1.findall(text)) > 0.03 * n:
+        return True
+    broken = len(BROKEN.findall(text))
+    if broken >= 4 and broken * 4 > 0.3 * n:
+        return True
+    if "<" in text and sum(map(len, TAG.findall(text))) > 0.6 * n:
+        return True
+    letters = sum(map(len, WORD.findall(text)))
+    if n - letters > 0.5 * n and len(ODD.findall(text)) - sum(map(text.count, DIVIDERS)) > 0.2 * n:
+        return True
+    if (found := LONG.search(text)) and len(found.group()) > 0.7 * n and len(CAPS.findall(text)) > n / 12:
+        return True
+    return text.isascii() and letters > 0.6 * n and text.count(" ") >= 3 and sum(map(text.lower().count, "aeiouy")) < 0.15 * letters
+
+
+def is_repetitive(text: str) -> bool:
+    """One word or phrase over and over: an n-gram over half of the characters leaves few distinct words, so texts with more
+    need no counting."""
+    words = text.lower().split()
+    return len(words) >= 8 and len(set(words)) <= 0.5 * len(words) and _ngram_coverage(words) > 0.5
 
 
 def is_boilerplate(text: str, lines: list[str]) -> bool:
@@ -213,13 +213,13 @@ def content_class(text: str | None) -> str | None:
     if not text:
         return None
     lines = [x for x in map(str.strip, SPLIT_LINES.split(text)) if x]
-    if is_junk(text):
+    if is_unreadable(text):
         return "junk"
     if is_table(text, lines):
         return "table"
     if is_list(lines):
         return "list"
-    if is_boilerplate(text, lines):
+    if is_repetitive(text) or is_boilerplate(text, lines):
         return "junk"
     return None
 

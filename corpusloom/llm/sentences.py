@@ -59,7 +59,9 @@ TOKEN_LEFT = re.compile(r"\S*$")
 WORD_RIGHT = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 THAI_RUN = re.compile(r"[฀-๿]+(?:[ 　]+[฀-๿]+)*")
 LEAD = re.compile(r"[ \t]*[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+(?=\s)")
-GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ein|eine|mit|wird|ist)\b")
+GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ein|eine|mit|wird|ist|am|im|von|kam|auf)\b")
+#: Months that an ordinal may stand before.
+MONTH = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 
 
 def thai_words(text: str) -> list[str]:
@@ -219,6 +221,8 @@ class Splitter:
             return True
         if not token:
             return False
+        if blank and token[-1] in CLOSERS:
+            return self._starts_new(para, at)
         low = token.lower()
         if not blank:
             if enclosed:
@@ -237,6 +241,8 @@ class Splitter:
                 return False
             if after.islower():
                 return WORD_RIGHT.match(para, at) is not None and WORD_RIGHT.match(para, at).group() in self.openers.small
+            if len(token) <= 2 and MONTH.match(para, at):
+                return False
             if german and len(token) <= 3 and token.isdigit():
                 before = re.search(r"(\S+)\s+\S*$", para[:a])
                 if before and before.group(1).lower() in BEFORE_ORDINAL:

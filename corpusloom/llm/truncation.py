@@ -255,7 +255,7 @@ def truncated(docs: DataFrame) -> DataFrame:
         F.col("state").isin("broken", "comma")
         | (is_open & (limited | (fragment & ~F.col("is_name"))))
         | (is_open & (share < SELDOM) & ~new_name)
-        | ((F.col("state") == "figure") & (share < SELDOM_FIGURE))
+        | ((F.col("state") == "figure") & F.col("end_share").isNotNull() & (share < SELDOM_FIGURE))
         | ((F.col("state") == "other") & F.col("at_limit"))
     )
     return out.select("doc_id", "source", "state", "marked", "at_limit", "final", "is_name", "here", "longer", "end_share", cut.alias("cut"))
