@@ -10,44 +10,90 @@ T_95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2
 Z_95 = 1.96
 
 
-def q_linear(value: Column, q: float) -> Column:
-    """Q1: linear interpolation at q(n - 1)."""
-    return F.percentile(value, F.lit(q))
-
-
 def t_95(n: Column) -> Column:
     """The t value of n observations; null for fewer than two."""
     table = F.array(*map(F.lit, T_95))
     return F.when(n < 2, None).when(n - 1 <= len(T_95), F.try_element_at(table, (n - 1).cast("int"))).otherwise(Z_95)
 
 
+#: Groups with more distinct values than this are cut into buckets, so that no task sorts a group of any size.
+WHOLE, BUCKETS = 100_000, 200
+
+
+def cumulative(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, c, upto: the rows of each distinct value and of all values up to it, exactly, for groups of any size.
+
+    Rows are counted by value first. A group of more than ``WHOLE`` values is cut at approximate quantiles into buckets;
+    a bucket's values are summed up in one task and the buckets' totals before it are added. The cuts only spread the
+    work: the sums don't depend on where they lie.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    wide = counted.groupBy(*keys).agg(F.count("*").alias("__k")).filter(F.col("__k") > WHOLE).select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__wide"))
+    same = lambda frame: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    marks = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = (
+        counted.join(wide, same(wide), "inner").groupBy(*keys)
+        .agg(F.percentile_approx(F.col(value).cast("double"), marks, 2000).alias("__cuts")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__cuts")
+    )
+    placed = counted.join(cuts, same(cuts), "left").withColumn("__b", F.coalesce(F.size(F.filter("__cuts", lambda x: x < F.col(value).cast("double"))), F.lit(0))).select(*keys, value, "c", "__b")
+    totals = placed.groupBy(*keys, "__b").agg(F.sum("c").alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__bb"), before.alias("__before"))
+    inside = placed.withColumn("__in", F.sum("c").over(Window.partitionBy(*keys, "__b").orderBy(value)))
+    joined = inside.join(offsets, [*same(offsets), F.col("__b") == F.col("__bb")])
+    return joined.select(*keys, value, "c", (F.col("__in") + F.col("__before")).alias("upto"))
+
+
 def ranked_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, tuple[str, float]]) -> DataFrame:
-    """keys + one column a name -> (rule, q), without gathering a group in one place.
+    """keys + one column a name -> (rule, q), exact for groups of any size.
 
-    Rules: half_even ``v[round(q(n-1))]``, ceil ``v[ceil(qn)-1]``, upper ``v[n//2]``. Every rule asks for one rank, so a
-    sort within the group and a filter answer all of them; the groups' sizes come from a window over the same sort.
-    Null values are left out, a group without values isn't in the result.
+    Rules: half_even ``v[round(q(n-1))]`` (Q2), ceil ``v[ceil(qn)-1]`` (Q3), upper ``v[n//2]`` (Q4), linear at q(n-1) (Q1;
+    Q5 is linear at 0.5). Each asks for one or two ranks, which the cumulative counts answer. Null values are left out,
+    a group without values isn't in the result.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    group = Window.partitionBy(*keys)
-    n = F.count("*").over(group)
-    placed = rows.select(*keys, "__v", F.row_number().over(group.orderBy("__v")).alias("__r"), n.alias("__n"))
-
-    def rank(rule: str, q: float) -> Column:
-        if rule == "half_even":
-            return F.bround(q * (F.col("__n") - 1)).cast("int") + 1
-        if rule == "ceil":
-            return F.greatest(F.ceil(q * F.col("__n")).cast("int"), F.lit(1))
-        return F.floor(F.col("__n") / 2).cast("int") + 1
-
-    picks = [F.max(F.when(F.col("__r") == rank(*rule), F.col("__v"))).alias(name) for name, rule in qs.items()]
+    up = cumulative(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")), keys, "__v")
+    sizes = up.groupBy(*keys).agg(F.max("upto").alias("__n")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__n")
+    placed = up.join(sizes, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= rank, F.col("__v")))
+
+    n = F.col("__n")
+    picks = []
+    for name, (rule, q) in qs.items():
+        if rule == "linear":
+            pos = F.lit(q) * (n - 1)
+            low, high = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+            part = F.max(pos - F.floor(pos))
+            picks.append((low + (high - low) * part).alias(name))
+        else:
+            rank = F.bround(q * (n - 1)).cast("bigint") + 1 if rule == "half_even" else F.greatest(F.ceil(q * n), F.lit(1)) if rule == "ceil" else F.floor(n / 2) + 1
+            picks.append(at(rank).alias(name))
     return placed.groupBy(*keys).agg(*picks)
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """The mean rank of equal values."""
-    tied = F.count("*").over(Window.partitionBy(*keys, value))
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (tied - 1) / 2.0
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """keys, n, rho over the pairs without nulls: Pearson's r of the average ranks.
+
+    Equal pairs are counted before anything is ranked, and ranks come from cumulative counts, so neither ties nor large
+    groups meet in one task.
+    """
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__w"))
+    ranked = pairs
+    for side in ("__x", "__y"):
+        # rows of the side's values, with their weights spread again as counts
+        values = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x if side == "__x" else y).alias(side))
+        up = cumulative(values, keys, side)
+        ranks = up.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(side).alias(f"_{side}"), (F.col("upto") - (F.col("c") - 1) / 2.0).alias(f"r{side}"))
+        ranked = ranked.join(ranks, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(side) == F.col(f"_{side}")]).drop(*[f"_{k}" for k in keys], f"_{side}")
+    w, a, b = F.col("__w"), F.col("r__x"), F.col("r__y")
+    n = F.sum(w)
+    ma, mb = F.sum(w * a) / n, F.sum(w * b) / n
+    sums = ranked.groupBy(*keys).agg(n.alias("n"), ma.alias("ma"), mb.alias("mb"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), (F.min(a) == F.max(a)).alias("ca"), (F.min(b) == F.max(b)).alias("cb"))
+    k = F.col("n")
+    cov, va, vb = F.col("ab") - k * F.col("ma") * F.col("mb"), F.col("aa") - k * F.col("ma") * F.col("ma"), F.col("bb") - k * F.col("mb") * F.col("mb")
+    rho = F.when((k >= least) & ~F.col("ca") & ~F.col("cb"), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
+    return sums.select(*keys, "n", rho.alias("rho"))
 
 
 def guarded_corr(x: str, y: str, least: int = 3) -> Column:
@@ -61,13 +107,6 @@ def guarded_corr(x: str, y: str, least: int = 3) -> Column:
     return F.when((n >= least) & ~constant, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n, rho over the pairs without nulls."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(*keys, average_rank(x, keys).alias("__x"), average_rank(y, keys).alias("__y"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("__x", "__y").alias("rho"))
-
-
 def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
     """The 95 % interval of a share; null where n is 0."""
     p, z2 = F.try_divide(hits, n), Z_95**2

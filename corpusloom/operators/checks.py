@@ -18,9 +18,13 @@ def continuity(df: DataFrame, keys: list[str], number: str, order: list[str]) ->
     return rows.withColumn("problem", problem).filter("problem IS NOT NULL").select(*keys, F.col(number).cast("bigint").alias(number), F.col("expected").cast("bigint").alias("expected"), "problem")
 
 
-def retention(df: DataFrame, category: list[str], order: list[Column], keep: int) -> DataFrame:
-    """The rows that go when only the newest ``keep`` of a category stay, with their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*category).orderBy(*order))).filter(F.col("rank") > keep)
+def retention(df: DataFrame, category: list[str], order: list[Column], keep: int, key: str) -> DataFrame:
+    """The rows that go when only the newest ``keep`` of a category stay; ``key`` identifies a row.
+
+    The kept rows come from a limited rank, which is cut before the shuffle, so a large category isn't sorted in a task.
+    """
+    kept = df.withColumn("__r", F.row_number().over(Window.partitionBy(*category).orderBy(*order))).filter(F.col("__r") <= keep).select(F.col(key).alias("__key"))
+    return df.join(kept, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
 
 
 def overlaps(boxes: DataFrame, keys: list[str], cells: float = 200.0) -> DataFrame:

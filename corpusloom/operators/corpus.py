@@ -31,7 +31,7 @@ def summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
     v = F.col("value")
     base = metrics.groupBy(*keys).agg(
         F.min(F.when(v.isNotNull(), F.col("unit"))).alias("unit"),
-        F.count_distinct(F.when(v.isNotNull(), F.col("unit"))).alias("n_units"),
+        (F.min(F.when(v.isNotNull(), F.col("unit"))) != F.max(F.when(v.isNotNull(), F.col("unit")))).alias("mixed"),
         F.count(v).alias("n_valid"),
         (F.count("*") - F.count(v)).alias("n_missing"),
         F.avg(v).alias("mean"),
@@ -41,7 +41,7 @@ def summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
     )
     q = stats.ranked_quantiles(metrics, keys, "value", QUARTILES)
     half = stats.t_95(F.col("n_valid")) * stats.standard_error(F.col("sd"), F.col("n_valid"))
-    mixed, n = F.col("n_units") > 1, F.col("n_valid")
+    mixed, n = F.coalesce("mixed", F.lit(False)), F.col("n_valid")
     out = base.join(q, keys, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
     warned = codes(
         (mixed, "MIXED_UNIT_AGGREGATION"),

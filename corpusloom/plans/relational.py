@@ -17,10 +17,8 @@ from corpusloom.session import table
 def quantile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five quantile conventions of the extended price by return flag."""
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    v = F.col("l_extendedprice")
-    linear = li.groupBy("l_returnflag").agg(stats.q_linear(v, 0.25).alias("q1_p25"), stats.q_linear(v, 0.9).alias("q1_p90"), F.percentile(v, F.lit(0.5)).alias("q5_median"))
-    ranked = stats.ranked_quantiles(li, ["l_returnflag"], "l_extendedprice", {"q2_p25": ("half_even", 0.25), "q2_p75": ("half_even", 0.75), "q3_p90": ("ceil", 0.9), "q4_mid": ("upper", 0.5)})
-    return linear.join(ranked, "l_returnflag")
+    rules = {"q1_p25": ("linear", 0.25), "q1_p90": ("linear", 0.9), "q5_median": ("linear", 0.5), "q2_p25": ("half_even", 0.25), "q2_p75": ("half_even", 0.75), "q3_p90": ("ceil", 0.9), "q4_mid": ("upper", 0.5)}
+    return stats.ranked_quantiles(li, ["l_returnflag"], "l_extendedprice", rules)
 
 
 def t_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +52,10 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every k-th document of a source in order, k chosen so that at most twenty are taken."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    w = Window.partitionBy("source")
-    placed = d.select("source", "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count("*").over(w).alias("n"))
+    placed = stats.cumulative(d, ["source"], "doc_id")
+    sizes = d.groupBy("source").agg(F.count("*").alias("n"))
     stride = F.greatest(F.lit(1), F.ceil(F.col("n") / 20).cast("int"))
-    return placed.filter((F.col("r") - 1) % stride == 0).select("source", "doc_id")
+    return placed.join(sizes, "source").filter((F.col("upto") - 1) % stride == 0).select("source", "doc_id")
 
 
 def verdict_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +65,7 @@ def verdict_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that go when each customer keeps the five newest."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    gone = checks.retention(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 5)
+    gone = checks.retention(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 5, "o_orderkey")
     return gone.groupBy("o_custkey").agg(F.count("*").alias("n_gone"), F.max("o_orderkey").alias("last_key"))
 
 

@@ -16,6 +16,12 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bl.typed(bl.newest(table(spark, sf_dir, "blocks")))
 
 
+def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed blocks with the lengths of their texts and only the headings' texts: what the windows over a paper sort."""
+    t = _typed(spark, sf_dir)
+    return t.select("block_id", "paper_key", "block_index", "stream", "level", F.length("plain").cast("bigint").alias("n_chars"), F.when(F.col("level") == 2, F.col("plain")).alias("plain"))
+
+
 def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "blocks")
     return b.groupBy("type", "kind", bl.stream_of(F.col("type")).alias("stream")).agg(F.count("*").alias("n_blocks"))
@@ -61,25 +67,25 @@ def table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and characters by section label: the nearest second-level heading before a block."""
-    s = bl.with_sections(_typed(spark, sf_dir))
-    return s.groupBy("section").agg(F.count("*").alias("n_blocks"), F.count_distinct("paper_key").alias("n_papers"), F.sum(F.length("plain")).cast("bigint").alias("n_chars"))
+    s = bl.with_sections(_light(spark, sf_dir))
+    return s.groupBy("section").agg(F.count("*").alias("n_blocks"), F.count_distinct("paper_key").alias("n_papers"), F.sum("n_chars").alias("n_chars"))
 
 
 def section_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section labels with the papers that have them, their mean share of blocks and averaged-middle position."""
-    s = bl.with_sections(_typed(spark, sf_dir))
+    s = bl.with_sections(_light(spark, sf_dir))
     parts = bl.section_extents(s).join(s.groupBy("paper_key").agg(F.count("*").alias("total")), "paper_key")
     return parts.groupBy("section").agg(F.count_distinct("paper_key").alias("n_papers"), F.round(F.percentile("section_no", F.lit(0.5)), 6).alias("median_no"), F.round(F.avg(F.col("n_blocks") / F.col("total")), 6).alias("mean_share"))
 
 
 def asset_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bl.with_sections(_typed(spark, sf_dir)).filter(F.col("stream").isin("figures", "tables", "equations"))
+    s = bl.with_sections(_light(spark, sf_dir)).filter(F.col("stream").isin("figures", "tables", "equations"))
     return s.groupBy("section", "stream").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "section", "stream")
 
 
 def table_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section with most tables of each paper (the first by name of equals) and its share."""
-    s = bl.with_sections(_typed(spark, sf_dir)).filter("stream = 'tables'").groupBy("paper_key", "section").agg(F.count("*").alias("n"))
+    s = bl.with_sections(_light(spark, sf_dir)).filter("stream = 'tables'").groupBy("paper_key", "section").agg(F.count("*").alias("n"))
     best = s.groupBy("paper_key").agg(F.min_by(F.struct("section", "n"), F.struct(-F.col("n"), F.col("section"))).alias("b"), F.sum("n").alias("n_tables"))
     return best.select("paper_key", F.col("b.section").alias("section"), F.round(F.col("b.n") / F.col("n_tables"), 6).alias("share"), "n_tables")
 

@@ -153,3 +153,21 @@ def test_sentences_udf(spark):
     got = [r[0] for r in df.select(split.sentences_udf()(F.col("t"))).collect()]
     assert [(s.no, s.text, s.n_clauses) for s in got[0]] == [(0, "One.", 1), (1, "Two, three.", 2)]
     assert got[1] is None and got[2] == []
+
+
+def test_large_groups_are_cut_and_stay_exact(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, round(rng.gauss(0, 1), 2)) for k in ("a", "b", None) for _ in range(700)] + [("a", 0.0)] * 300
+    df = spark.createDataFrame(rows, "k string, v double")
+    whole = sorted(map(repr, stats.cumulative(df, ["k"], "v").collect()))
+    monkeypatch.setattr(stats, "WHOLE", 50)
+    monkeypatch.setattr(stats, "BUCKETS", 7)
+    assert sorted(map(repr, stats.cumulative(df, ["k"], "v").collect())) == whole
+    got = {r.k: r for r in stats.ranked_quantiles(df, ["k"], "v", {"m": ("half_even", 0.5), "l": ("linear", 0.9)}).collect()}
+    for k in ("a", "b", None):
+        vs = sorted(v for g, v in rows if g == k)
+        n = len(vs)
+        assert got[k].m == vs[round(0.5 * (n - 1))]
+        pos = 0.9 * (n - 1)
+        want = vs[int(pos)] + (vs[min(n - 1, int(pos) + 1)] - vs[int(pos)]) * (pos - int(pos))
+        assert abs(got[k].l - want) < 1e-9

@@ -54,7 +54,7 @@ def test_inventory_and_audit(spark):
 
 def test_retention_and_orphans(spark):
     df = spark.createDataFrame([("x", i) for i in range(5)] + [("y", 1)], "c string, k int")
-    assert {r.k for r in checks.retention(df, ["c"], [F.col("k").desc()], 3).collect()} == {0, 1}
+    assert {r.k for r in checks.retention(df.withColumn("id", F.concat("c", "k")), ["c"], [F.col("k").desc()], 3, "id").collect()} == {0, 1}
     edges = spark.createDataFrame([(1, 2), (1, 9), (None, 1)], "a int, b int")
     nodes = spark.createDataFrame([(1,), (2,)], "n int")
     assert {(r.a, r.b, r.missing_end) for r in checks.orphans(edges, nodes, ["a", "b"], "n").collect()} == {(1, 9, "b"), (None, 1, "a")}
