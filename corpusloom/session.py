@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,23 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_SPLIT and df.rdd.getNumPartitions() < cores else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors of a session once, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{p.relative_to(root)}"), p.read_bytes())
+    name = f"corpusloom-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+    folder = Path(tempfile.mkdtemp(prefix="corpusloom-"))
+    (folder / name).write_bytes(data.getvalue())
+    sc.addPyFile(str(folder / name))
+    sc._corpusloom_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors can't undo it.
 
