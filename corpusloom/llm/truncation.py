@@ -230,7 +230,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     its own; an empty table gives no rows.
     """
     ends = checkpoint(endings(docs).withColumn("tail", F.xxhash64("contexts")))
-    counts = corpus_counts(docs)
+    counts = checkpoint(corpus_counts(docs))
     asked = ends.filter("state IN ('open', 'figure')").select("tail", F.posexplode("contexts").alias("pos", "key")).distinct()
     met = (
         asked.join(counts.filter("kind = 'c'").select("key", "n", "ends"), "key")
