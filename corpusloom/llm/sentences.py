@@ -59,6 +59,7 @@ TOKEN_LEFT = re.compile(r"\S*$")
 WORD_RIGHT = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 THAI_RUN = re.compile(r"[฀-๿]+(?:[ 　]+[฀-๿]+)*")
 LEAD = re.compile(r"[ \t]*[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+(?=\s)")
+LEAD_ALONE = re.compile(r"[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+\s+")
 GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ein|eine|mit|wird|ist|am|im|von|kam|auf)\b")
 #: Months that an ordinal may stand before.
 MONTH = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
@@ -167,7 +168,7 @@ class Splitter:
                     continue
                 began = self._skip(para, cuts[-1] if cuts else 0)
                 bracket = para[inside[0]] not in QUOTES
-                if bracket and inside[0] > began:
+                if bracket and inside[0] > began and not LEAD_ALONE.fullmatch(para, began, inside[0]):
                     continue
                 b, quoted = inside[1] + 1, not bracket
             while b < len(para) and para[b] in CLOSERS and (para[b] not in "\"“‘'" or (b + 1 >= len(para) or para[b + 1].isspace())) and not any(o == b for o, _ in closed):
