@@ -59,6 +59,8 @@ TOKEN_LEFT = re.compile(r"\S*$")
 WORD_RIGHT = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 THAI_RUN = re.compile(r"[฀-๿]+(?:[ 　]+[฀-๿]+)*")
 LEAD = re.compile(r"[ \t]*[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+(?=\s)")
+#: A bracket that holds a sentence of its own.
+OWN_BRACKET = re.compile(r"\([^\W\d_a-z][^()]*[.!?…]\)")
 LEAD_ALONE = re.compile(r"[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+\s+")
 GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ein|eine|mit|wird|ist|am|im|von|kam|auf)\b")
 #: Months that an ordinal may stand before.
@@ -258,7 +260,7 @@ class Splitter:
         if low in NEVER:
             return False
         if low in MAYBE:
-            return after not in "(" and self._starts_new(para, at)
+            return OWN_BRACKET.match(para, at) is not None if after == "(" else self._starts_new(para, at)
         if "." in token and all(len(x) <= 2 for x in token.split(".")) and not FIGURE.match(token):
             return after.isupper() and len(token) <= 3
         return self._starts_new(para, at)

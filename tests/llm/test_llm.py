@@ -206,6 +206,7 @@ SPLITS = [
     ("هل هذا صحيح؟ نعم.هذا صحيح.", ["هل هذا صحيح؟", "نعم.", "هذا صحيح."]),
     ("यह है। वह है।", ["यह है।", "वह है।"]),
     ("ระบบค้นหาบันทึกผล ดังนั้นผู้ตรวจบันทึก", ["ระบบค้นหาบันทึกผล", "ดังนั้นผู้ตรวจบันทึก"]),
+    ("It closed at 4 p.m. (This also holds.) When it did, Wu et al. (2003) left.", ["It closed at 4 p.m.", "(This also holds.)", "When it did, Wu et al. (2003) left."]),
     ("1. (This holds.)\n2. That too.", ["1. (This holds.)", "2. That too."]),
     ("at level\n424. Note it.", ["at level\n424.", "Note it."]),
     ("", []),
