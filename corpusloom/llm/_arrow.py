@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _built: dict = {}
+#: Characters, bytes and list members that a batch of results holds at most, beyond its last row.
+MAX_SIZE = 16_000_000
 
 
 def once(key: object, build: Callable[[], object]) -> object:
@@ -28,11 +30,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
         work = make()
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for row in work(*[c.to_pylist() for c in batch.columns]):
                 rows.append(row)
-                if len(rows) >= max_rows:
+                for x in row:
+                    if type(x) in (str, bytes, list):
+                        size += len(x)
+                if len(rows) >= max_rows or size >= MAX_SIZE:
                     yield _batch(rows, kinds, names)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield _batch(rows, kinds, names)
 
