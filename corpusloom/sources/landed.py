@@ -102,7 +102,7 @@ def first_page(pages: DataFrame, order: list[str]) -> DataFrame:
 
 def clamp_percent(value: Column) -> Column:
     """A percentage between 0 and 100 with one digit; null for null."""
-    return F.round(F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(100.0)), 1)
+    return F.when(value.isNotNull(), F.round(F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(100.0)), 1))
 
 
 def usage_windows(polls: DataFrame) -> DataFrame:
