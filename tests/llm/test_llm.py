@@ -250,6 +250,7 @@ def test_scan_repair():
     assert kinds == {"hyphen"} and "skeleton" in text and "rule-based" in text and "oversized" in text
     kinds, _, text = scans.examine("it is 1ikely that the glos5ary femplate explains the rnodern table", words)
     assert kinds == {"ocr_char"} and text == "it is likely that the glossary template explains the modern table"
+    assert scans.Words({"vehicle": 900, "the": 9000}, {}, {}).meant("vehic1e") == "vehicle"
     for clean in ("the section merges half", "a rule-\nbased splitter", "M-SLEN-01 is v2.1 of 1st", "", "Velnok and Ti"):
         assert scans.examine(clean, words)[0] == set(), clean
     kinds, heads, text = scans.examine("any change of the section because it is\n\n- 130 -\n\nlikely that the glossary merges half.\nTHE TABLE CELLS NOKVEL\nit explains the schema", words)
