@@ -61,8 +61,8 @@ def typed(blocks: DataFrame) -> DataFrame:
 
 
 def newest(blocks: DataFrame) -> DataFrame:
-    """One row per block_id: the latest delivery; equal times are settled by the whole row's hash."""
-    order = Window.partitionBy("block_id").orderBy(F.col("loaded_at").desc(), F.xxhash64(F.to_json(F.struct("paper_key", "block_index", "type", "text_plain"))))
+    """One row per block_id: the latest delivery; equal times are settled by a hash of the columns given, so give only those needed."""
+    order = Window.partitionBy("block_id").orderBy(F.col("loaded_at").desc(), F.xxhash64(F.to_json(F.struct(*blocks.columns))))
     return blocks.filter("block_id IS NOT NULL").withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
 
 

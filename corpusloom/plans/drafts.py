@@ -10,7 +10,7 @@ from corpusloom.operators import blocks as bl
 from corpusloom.operators import evidence as ev
 from corpusloom.operators import lint as li
 from corpusloom.operators import metrics
-from corpusloom.plans.structure import _NEWEST, _light
+from corpusloom.plans.structure import _NEWEST, _light, _newest
 from corpusloom.session import table, texts
 
 
@@ -46,7 +46,7 @@ def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers cited in a paper's prose against its reference blocks."""
-    b = bl.newest(table(spark, sf_dir, "blocks"))
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "kind", "sub_type", "text_plain"])
     cited = b.filter("kind = 'prose' AND text_plain IS NOT NULL").select("paper_key", F.explode(tx.cited_numbers(F.col("text_plain"))).alias("n")).distinct()
     numbers = cited.groupBy(F.col("paper_key").alias("doc_id")).agg(F.array_sort(F.collect_set("n")).alias("numbers"))  # distinct numbers of up to four digits
     listed = b.filter("sub_type = 'ref_text'").groupBy(F.col("paper_key").alias("doc_id")).agg(F.count("*").alias("n_entries"))
@@ -54,7 +54,7 @@ def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bl.newest(table(spark, sf_dir, "blocks")).filter("text_plain IS NOT NULL")
+    b = _newest(spark, sf_dir, ["block_id", "kind", "text_plain"]).filter("text_plain IS NOT NULL")
     return b.groupBy("kind").agg(F.count("*").alias("n_blocks"), F.sum(ev.is_reference(F.col("text_plain")).cast("bigint")).alias("n_reference_like"))
 
 
@@ -63,7 +63,7 @@ def corpus_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bl.newest(table(spark, sf_dir, "blocks")).filter("kind = 'prose' AND text_level BETWEEN 1 AND 6 AND block_index IS NOT NULL").groupBy(F.col("paper_key").alias("doc_id"), F.col("block_index").alias("pos")).agg(F.min("text_level").alias("level"))
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "kind", "text_level", "block_index"]).filter("kind = 'prose' AND text_level BETWEEN 1 AND 6 AND block_index IS NOT NULL").groupBy(F.col("paper_key").alias("doc_id"), F.col("block_index").alias("pos")).agg(F.min("text_level").alias("level"))
     return ev.heading_tree(b)
 
 
@@ -90,7 +90,7 @@ def language_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prose_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the prose filter keeps and drops, with blocks and characters by reason."""
-    b = bl.newest(table(spark, sf_dir, "blocks"))
+    b = _newest(spark, sf_dir, ["block_id", "kind", "text_level", "text_plain"])
     t = F.coalesce("text_plain", F.lit(""))
     reason = (
         F.when(F.col("kind") != "prose", "not_prose").when(F.coalesce("text_level", F.lit(0)) >= 1, "heading").when(F.trim(t) == "", "blank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats
@@ -12,8 +12,15 @@ from corpusloom.operators import checks
 from corpusloom.session import table
 
 
+TYPED = ["block_id", "paper_key", "block_index", "type", "text_plain", "text_level", "list_items", "code_body", "table_body", "caption"]
+
+
+def _newest(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return bl.newest(table(spark, sf_dir, "blocks").select(*columns, "loaded_at"))
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bl.typed(bl.newest(table(spark, sf_dir, "blocks")))
+    return bl.typed(_newest(spark, sf_dir, TYPED))
 
 
 def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def census_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bl.newest(table(spark, sf_dir, "blocks"))
+    b = _newest(spark, sf_dir, ["block_id", "corpus_name", "paper_key"])
     return b.groupBy("corpus_name").agg(F.count("*").alias("n_blocks"), F.count_distinct("paper_key").alias("n_papers"), F.max("loaded_at").cast("timestamp_ntz").alias("last_load"))
 
 
@@ -111,15 +118,13 @@ def figure_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a paper whose index isn't the next one."""
-    b = bl.newest(table(spark, sf_dir, "blocks")).select("paper_key", (F.col("block_index") + 1).alias("number"), "block_id")
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "block_index"]).select("paper_key", (F.col("block_index") + 1).alias("number"), "block_id")
     return checks.continuity(b, ["paper_key"], "number", ["number", "block_id"]).groupBy("problem").agg(F.count("*").alias("n"), F.count_distinct("paper_key").alias("n_papers"))
 
 
 def running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated images with their occurrence and total, in paper order."""
-    b = bl.newest(table(spark, sf_dir, "blocks")).filter("img_path IS NOT NULL").select("paper_key", "img_path", "block_index", "block_id")
-    from pyspark.sql import Window
-
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "block_index", "img_path"]).filter("img_path IS NOT NULL").select("paper_key", "img_path", "block_index", "block_id")
     same = Window.partitionBy("paper_key", "img_path")
     out = b.select("paper_key", "img_path", "block_id", F.row_number().over(same.orderBy("block_index", "block_id")).cast("bigint").alias("occurrence"), F.count("*").over(same).alias("n_same"))
     return out.filter("n_same > 1")
@@ -127,16 +132,14 @@ def running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a page whose boxes share more than half of the smaller one."""
-    b = bl.newest(table(spark, sf_dir, "blocks")).filter("size(bbox) = 4").select("paper_key", "page_idx", F.col("block_id").alias("id"), *[F.col("bbox")[i].cast("double").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "page_idx", "bbox"]).filter("size(bbox) = 4").select("paper_key", "page_idx", F.col("block_id").alias("id"), *[F.col("bbox")[i].cast("double").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
     found = checks.overlaps(b.filter("page_idx IS NOT NULL AND paper_key IS NOT NULL"), ["paper_key", "page_idx"]).filter("share > 0.5")
     return found.groupBy("paper_key").agg(F.count("*").alias("n_pairs"), F.round(F.max("share"), 6).alias("largest"))
 
 
 def reference_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference blocks by paper: entries, dated ones, and the share within five years of the newest."""
-    r = bl.newest(table(spark, sf_dir, "blocks")).filter("sub_type = 'ref_text'").select("paper_key", tx.first_year(F.col("text_plain")).alias("year"))
-    from pyspark.sql import Window
-
+    r = _newest(spark, sf_dir, ["block_id", "paper_key", "sub_type", "text_plain"]).filter("sub_type = 'ref_text'").select("paper_key", tx.first_year(F.col("text_plain")).alias("year"))
     newest = F.max("year").over(Window.partitionBy("paper_key"))
     near = r.withColumn("near", F.when(F.col("year").isNotNull(), (F.col("year") >= newest - 5).cast("double")))
     return near.groupBy("paper_key").agg(F.count("*").alias("n_entries"), F.count("year").alias("n_dated"), F.round(F.avg("near"), 6).alias("fresh_share"))
