@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm._arrow import map_rows
+from corpusloom.session import checkpoint
 from corpusloom.session import texts as table
 
 #: Letters of Latin, Cyrillic and Greek that have the same shape, in this order; a blank where there's none.
@@ -225,7 +226,7 @@ def lookalike_pairs(texts: DataFrame, key: str, column: str, canonical: Canonica
     def digests(raw: str, form: str) -> tuple:
         return (xxhash.xxh3_128_digest(form.encode("utf-8", "replace")), xxhash.xxh3_128_digest(raw.encode("utf-8", "replace"))) if form else (None, None)
 
-    rows = _forms(texts, key, column, canonical, T.BinaryType(), digests, ["form", "raw"]).filter(f"form IS NOT NULL AND {key} IS NOT NULL")
+    rows = checkpoint(_forms(texts, key, column, canonical, T.BinaryType(), digests, ["form", "raw"]).filter(f"form IS NOT NULL AND {key} IS NOT NULL"))
     spread = rows.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("form")
     kept = rows.join(spread, "form", "left_semi").distinct()
     a = kept.select("form", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
