@@ -24,7 +24,7 @@ from corpusloom.session import texts as table
 
 LANGUAGES = ("ar", "de", "en", "es", "fr", "hi", "it", "ja", "nl", "pt", "ru", "th", "zh")
 UNKNOWN = "unknown"
-#: Labelled texts a label that the models are fitted on, at most.
+#: Labelled texts a language that the models are fitted on, at most.
 SAMPLE = 250
 ORDER = 5
 DISCOUNT = 0.75
@@ -335,12 +335,13 @@ class Detector:
 
 
 def training_sample(cases: DataFrame, max_per_label: int = SAMPLE) -> list[tuple[str, str]]:
-    """(code, text): at most ``max_per_label`` labelled texts a label, chosen by a hash of the key - the only bounded part."""
-    label = F.col("expected.language")
-    light = cases.filter(label.isNotNull() & (F.length("text") >= 20)).select(label.alias("label"), "text", F.xxhash64("case_id").alias("h"))
+    """(code, text): at most ``max_per_label`` labelled texts a language, whatever its spelling, chosen by a hash of the key - the only bounded part."""
+    label = F.udf(code, T.StringType())("expected.language")
+    light = cases.filter(F.col("expected.language").isNotNull() & (F.length("text") >= 20)).select(label.alias("label"), "text", F.xxhash64("case_id").alias("h"))
     order = Window.partitionBy("label").orderBy("h", "text")
-    rows = light.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_per_label).select("label", "text").collect()
-    return sorted((code(r["label"]), r["text"]) for r in rows)
+    ranked = light.filter(F.col("label").isin(*LANGUAGES)).withColumn("r", F.row_number().over(order))
+    rows = ranked.filter(F.col("r") <= max_per_label).select("label", "text").collect()
+    return sorted((r["label"], r["text"]) for r in rows)
 
 
 def fit_detector(cases: DataFrame, max_per_label: int = SAMPLE) -> Detector:
