@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nlargest
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,21 +59,43 @@ def _dup_share(parts: list[str]) -> float:
     return 1 - len(set(parts)) / len(parts) if parts else 0.0
 
 
+def _occurrences(words: list[str], gram: tuple[str, ...]) -> int:
+    """How often an n-gram stands in the words without overlapping itself."""
+    n, at, count = len(gram), 0, 0
+    while at <= len(words) - n:
+        if words[at] == gram[0] and tuple(words[at : at + n]) == gram:
+            count, at = count + 1, at + n
+        else:
+            at += 1
+    return count
+
+
 def _ngram_coverage(words: list[str]) -> float:
-    """Largest share of the words' characters that one n-gram (n of 1 to 4) covers; it must occur three times."""
+    """Largest share of the words' characters that one n-gram (n of 1 to 4) covers; it must occur three times, overlaps apart."""
     total = sum(map(len, words))
-    best = 0.0
+    best = 0
     for n in (1, 2, 3, 4):
         if len(words) < 3 * n:
             break
-        grams = Counter(words if n == 1 else zip(*(words[i:] for i in range(n)), strict=False))
-        gram, count = max(grams.items(), key=lambda kv: (kv[1], kv[0]))
-        if count >= 3:
-            size = len(gram) if n == 1 else sum(map(len, gram))
-            best = max(best, min(1.0, count * size / total))
-        elif n == 1:
+        grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        often = sorted(((count * sum(map(len, gram)), gram, count) for gram, count in grams.items() if count >= 3), reverse=True)
+        if not often:
             break
-    return best
+        for covered, gram, count in often:
+            if covered <= best:
+                break
+            if any(gram[k:] == gram[:-k] for k in range(1, n)):
+                count = _occurrences(words, gram)
+            if count >= 3:
+                best = max(best, count * sum(map(len, gram)))
+    return best / total if total else 0.0
+
+
+def _may_dominate(words: list[str]) -> bool:
+    """Whether an n-gram of up to four words can cover over half of the characters: its words can't have more than the four
+    words with the most characters that occur three times."""
+    sizes = [count * len(word) for word, count in Counter(words).items() if count >= 3]
+    return 2 * sum(nlargest(4, sizes)) > sum(map(len, words))
 
 
 def stats(text: str) -> dict[str, float]:
@@ -191,10 +214,9 @@ def is_unreadable(text: str) -> bool:
 
 
 def is_repetitive(text: str) -> bool:
-    """One word or phrase over and over: an n-gram over half of the characters leaves few distinct words, so texts with more
-    need no counting."""
+    """One word or phrase over and over: an n-gram over half of the characters."""
     words = text.lower().split()
-    return len(words) >= 8 and len(set(words)) <= 0.5 * len(words) and _ngram_coverage(words) > 0.5
+    return len(words) >= 8 and _may_dominate(words) and _ngram_coverage(words) > 0.5
 
 
 def is_boilerplate(text: str, lines: list[str]) -> bool:

@@ -187,6 +187,27 @@ def test_statistics(spark):
     assert quality.content_class(long) == "junk"
 
 
+def test_dominant_words():
+    token = "0123456789abcdef" * 2 + "01234567"
+    few = " ".join(f"{token} {w}" for w in ("some", "other", "four", "tall", "last"))
+    assert quality.content_class(few) == "junk"
+    assert quality.stats(few)["top_ngram_coverage"] > 0.9
+    rng = random.Random(3)
+    for _ in range(3000):
+        words = [rng.choice("a bb ccc dddd eeeee ffffffff".split()) for _ in range(rng.randrange(1, 14))]
+        want = 0.0
+        for n in range(1, 5):
+            for gram in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}:
+                at, k = 0, 0
+                while at <= len(words) - n:
+                    hit = tuple(words[at : at + n]) == gram
+                    k, at = k + hit, at + (n if hit else 1)
+                if k >= 3:
+                    want = max(want, k * len("".join(gram)) / len("".join(words)))
+        assert abs(quality._ngram_coverage(words) - want) < 1e-9
+        assert want <= 0.5 or quality._may_dominate(words)
+
+
 # ---- sentences
 
 SPLITS = [
