@@ -32,6 +32,11 @@ COMMON = frozenset(
 )
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 SPACELESS = re.compile("[぀-ヿ㐀-鿿豈-﫿฀-๿]")
+#: Characters of a script without spaces that stand for four words.
+PHRASE = 8
+#: The units of a lower-case text: characters of scripts without spaces, and words between them.
+UNIT = re.compile("[぀-ヿ㐀-鿿豈-﫿฀-๿]|[^\\s぀-ヿ㐀-鿿豈-﫿฀-๿]+")
+MARKS = ".,;:!?()\"'«»“”„。，、；：！？（）《》「」『』"
 END = re.compile(r"[.!?…。！？；．۔؟।]['\"”’»」』）)\]]*$")
 INNER_STOP = re.compile(r"[。！？].|[a-zа-я]{2}[.!?] +[A-ZÀ-ÞА-Я]")
 STOP = re.compile(r"[.!?…。！？।؟]")
@@ -70,11 +75,20 @@ def _occurrences(words: list[str], gram: tuple[str, ...]) -> int:
     return count
 
 
-def _ngram_coverage(words: list[str]) -> float:
-    """Largest share of the words' characters that one n-gram (n of 1 to 4) covers; it must occur three times, overlaps apart."""
+def _repeat_units(text: str) -> tuple[list[str], int]:
+    """(units of repetition without marks around them, characters of scripts without spaces among them)."""
+    low = text.lower()
+    if low.isascii() or not (spaceless := len(SPACELESS.findall(low))):
+        return [w.strip(MARKS) for w in low.split()], 0
+    return [u for w in UNIT.findall(low) if (u := w.strip(MARKS))], spaceless
+
+
+def _ngram_coverage(words: list[str], longest: int = 4) -> float:
+    """Largest share of the words' characters that one n-gram covers (n of 1 to 4, or as ``longest`` says); it must occur
+    three times, overlaps apart."""
     total = sum(map(len, words))
     best = 0
-    for n in (1, 2, 3, 4):
+    for n in range(1, longest + 1):
         if len(words) < 3 * n:
             break
         grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
@@ -91,11 +105,39 @@ def _ngram_coverage(words: list[str]) -> float:
     return best / total if total else 0.0
 
 
-def _may_dominate(words: list[str]) -> bool:
-    """Whether an n-gram of up to four words can cover over half of the characters: its words can't have more than the four
-    words with the most characters that occur three times."""
+def _phrase_coverage(chars: list[str]) -> float:
+    """Share of the characters that the phrase around the most frequent run of ``PHRASE`` characters covers, however long."""
+    runs = Counter(zip(*(chars[i:] for i in range(PHRASE)), strict=False))
+    if not runs:
+        return 0.0
+    gram, count = max(runs.items(), key=lambda kv: (kv[1], kv[0]))
+    if count < 3:
+        return 0.0
+    at: list[int] = []
+    for i in range(len(chars) - PHRASE + 1):
+        if chars[i] == gram[0] and (not at or i >= at[-1] + PHRASE) and tuple(chars[i : i + PHRASE]) == gram:
+            at.append(i)
+    if len(at) < 3:
+        return 0.0
+    room = min(b - a for a, b in zip(at, at[1:], strict=False))
+    size, left = PHRASE, 0
+    while size < room and at[-1] + size < len(chars) and len({chars[i + size] for i in at}) == 1:
+        size += 1
+    while size + left < room and at[0] > left and len({chars[i - left - 1] for i in at}) == 1:
+        left += 1
+    return len(at) * sum(map(len, chars[at[0] - left : at[0] + size])) / sum(map(len, chars))
+
+
+def _may_dominate(words: list[str], longest: int | None = 4) -> bool:
+    """Whether an n-gram of up to ``longest`` words (None: of any length) can cover over half of the characters: its words
+    can't have more than as many words with the most characters that occur three times."""
     sizes = [count * len(word) for word, count in Counter(words).items() if count >= 3]
-    return 2 * sum(nlargest(4, sizes)) > sum(map(len, words))
+    return 2 * sum(sizes if longest is None else nlargest(longest, sizes)) > sum(map(len, words))
+
+
+def _coverage(units: list[str], spaceless: int) -> float:
+    """Coverage of the dominant n-gram; where most units are characters, of up to ``PHRASE`` ones or of a longer phrase."""
+    return _ngram_coverage(units) if 2 * spaceless <= len(units) else max(_ngram_coverage(units, PHRASE), _phrase_coverage(units))
 
 
 def stats(text: str) -> dict[str, float]:
@@ -105,6 +147,7 @@ def stats(text: str) -> dict[str, float]:
     spaceless = len(SPACELESS.findall(text))
     words = text.split()
     low = [w.strip(".,;:!?()\"'«»“”„").lower() for w in words]
+    units, characters = _repeat_units(text)
     tokens = max(1, len(words) + spaceless // 2)
     paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()] if "\n\n" in text else [text]
     return dict(
@@ -122,8 +165,8 @@ def stats(text: str) -> dict[str, float]:
                 len(STOP.findall(text)) / tokens,
                 _dup_share(lines),
                 _dup_share(paragraphs),
-                _ngram_coverage(low),
-                len(set(low)) / len(low) if low else 0.0,
+                _coverage(units, characters),
+                len(set(units)) / len(units) if units else 0.0,
                 tokens / len(lines) if lines else 0.0,
             ),
             strict=True,
@@ -214,7 +257,13 @@ def is_unreadable(text: str) -> bool:
 
 
 def is_repetitive(text: str) -> bool:
-    """One word or phrase over and over: an n-gram over half of the characters."""
+    """One word or phrase over and over: an n-gram over half of the characters; scripts without spaces by characters."""
+    if not text.isascii() and SPACELESS.search(text):
+        units, spaceless = _repeat_units(text)
+        if 2 * spaceless > len(units):
+            if _units(text) < 8 or not _may_dominate(units, None):
+                return False
+            return _phrase_coverage(units) > 0.5 or _may_dominate(units, PHRASE) and _ngram_coverage(units, PHRASE) > 0.5
     words = text.lower().split()
     return len(words) >= 8 and _may_dominate(words) and _ngram_coverage(words) > 0.5
 

@@ -208,6 +208,15 @@ def test_dominant_words():
         assert want <= 0.5 or quality._may_dominate(words)
 
 
+def test_repetition_without_spaces():
+    for phrase in ("今すぐ購入", "请点击这里下载最新版本软件，", "ดาวน์โหลดเวอร์ชันใหม่ที่นี่", "好"):
+        assert quality.content_class(phrase * 50) == "junk", phrase
+        s = quality.stats(phrase * 50)
+        assert s["top_ngram_coverage"] > 0.9 and s["distinct_word_share"] < 0.1, phrase
+    s = quality.stats(TEXTS["zh"])
+    assert quality.content_class(TEXTS["zh"]) is None and s["top_ngram_coverage"] < 0.2 and 0.5 < s["distinct_word_share"] < 1
+
+
 # ---- sentences
 
 SPLITS = [
