@@ -34,8 +34,8 @@ MISREAD = [
 HAN_PARTS = "冫氵讠亻扌忄纟钅饣礻衤犭疒宀冖艹辶阝刂彳"
 #: A word is misread if what it is read for is so much more frequent, and has at least so many uses.
 RATIO, RATIO_SHORT, LEAST = 50, 500, 20
-#: At most so many words and contexts go to the workers, the most frequent ones; both are checked before they are collected.
-MAX_WORDS = 500_000
+#: Up to so many judgements other than "fine" go to the workers; beyond it they are joined to the texts that ask for them.
+MAX_FACTS = 500_000
 HAN = "㐀-䶿一-鿿"
 
 HAN_CHAR = re.compile(f"[{HAN}]")
@@ -124,7 +124,7 @@ def _alike_keys(word: str) -> set[str]:
 
 
 class Words:
-    """The frequent words of the corpus and the judgements that follow from them."""
+    """Words, Han contexts and characters with their counts, and the judgements that follow from them."""
 
     def __init__(self, counts: dict[str, int], contexts: dict[str, tuple[str, int]], chars: dict[str, int]):
         self.counts, self.contexts, self.chars = counts, contexts, chars
@@ -163,11 +163,10 @@ class Words:
 
     def _meant(self, token: str) -> str | None:
         digits = DIGITS.search(token) is not None
-        letters = sum(map(str.isalpha, token))
-        if letters < 2 or len(token) > 40 or (digits and (letters < len(token) / 2 or re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|º|ª|[a-z])", token, re.I))):
+        if not _can_be_misread(token):
             return None
         capital = token[0].isupper()
-        form = token.lower() if token.isupper() and len(token) > 1 and not digits else token[0].lower() + token[1:]
+        form = _lower_form(token)
         own = max(self.counts.get(form, 0), self.counts.get(form.lower(), 0), self.counts.get(token, 0))
         if own * RATIO > self.top:
             return None
@@ -229,12 +228,76 @@ class Words:
                 found = True
                 continue
             before, after = text[i - 1 : i] or "^", text[i + 1 : i + 2] or "^"
-            mid, n = self._expected(before, after)
-            if mid and mid != ch and self.chars.get(ch, 0) * RATIO < self.chars.get(mid, 0):
+            mid = self.mid(before, ch, after)
+            if mid:
                 out[i] = mid
                 found = True
         return "".join(out), found
 
+    def mid(self, before: str, ch: str, after: str) -> str:
+        """The character that a rare one between two others was misread for; empty if it wasn't."""
+        mid, _ = self._expected(before, after)
+        return mid if mid and mid != ch and self.chars.get(ch, 0) * RATIO < self.chars.get(mid, 0) else ""
+
+
+class Judged(Words):
+    """Judgements made over the whole corpus beforehand: what isn't named needs no repair. ``facts``: (kind, key) -> answer."""
+
+    def __init__(self, facts: dict[tuple[str, str], str], chars: dict[str, int]):
+        super().__init__({}, {}, chars)
+        self.facts = facts
+
+    def own_hyphen(self, a: str, mark: str, b: str) -> bool:
+        return ("y", _hyphen_key(a, mark, b)) in self.facts
+
+    def meant(self, token: str) -> str | None:
+        return self.facts.get(("t", token))
+
+    def mid(self, before: str, ch: str, after: str) -> str:
+        return self.facts.get(("m", before + ch + after), "")
+
+
+class Asking(Judged):
+    """Notes what is asked about, in ``asked`` as (kind, key); ``again``: also what was asked before."""
+
+    def __init__(self, facts: dict[tuple[str, str], str], chars: dict[str, int], again: bool = False):
+        super().__init__(facts, chars)
+        self.again = again
+        self.asked: set[tuple[str, str]] = set()
+
+    def own_hyphen(self, a: str, mark: str, b: str) -> bool:
+        self.asked.add(("y", _hyphen_key(a, mark, b)))
+        return super().own_hyphen(a, mark, b)
+
+    def fix_words(self, text: str) -> tuple[str, bool]:
+        new = set(WORD.findall(text)) - self.fine
+        for token in new:
+            self.asked.update(("t", part) for part in ((token,) if token.isalnum() else re.split(r"[-'’‐‑]", token)) if _can_be_misread(part))
+        if not self.again:
+            if len(self.fine) > 1_000_000:
+                self.fine.clear()
+            self.fine |= new
+        return text, False
+
+    def mid(self, before: str, ch: str, after: str) -> str:
+        self.asked.add(("m", before + ch + after))
+        return ""
+
+
+def _hyphen_key(a: str, mark: str, b: str) -> str:
+    return "\t".join((a.lower().replace("‐", "-"), "soft" if mark in "¬\xad" else "", b.lower().replace("‐", "-")))
+
+
+def _can_be_misread(token: str) -> bool:
+    letters = sum(map(str.isalpha, token))
+    digits = DIGITS.search(token) is not None
+    return not (letters < 2 or len(token) > 40 or (digits and (letters < len(token) / 2 or re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|º|ª|[a-z])", token, re.I))))
+
+
+def _lower_form(token: str) -> str:
+    """The form under which a token is counted."""
+    return token.lower() if token.isupper() and len(token) > 1 and DIGITS.search(token) is None else token[0].lower() + token[1:]
+
 
 class Lines:
     """The labelled lines of one text."""
@@ -416,56 +479,214 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("text"), make, COUNTS).groupBy("kind", "key", "mid").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, max_words: int = MAX_WORDS) -> Words:
-    """The words and contexts frequent enough to judge others by, as many as ``max_words`` allows.
+FACT = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("answer", T.StringType())])
+FACTS = T.ArrayType(FACT)
+ASKED = T.StructType(FACT.fields[:2])
+ASKED_BY = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), *ASKED.fields])
+TARGET = T.StructType([T.StructField("alike", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+USED = T.StructType([T.StructField("key", T.StringType()), T.StructField("use", T.StringType()), T.StructField("role", T.StringType())])
+RATED = T.StructType([T.StructField("key", T.StringType()), T.StructField("form", T.StringType()), T.StructField("own", T.LongType()), T.StructField("alike", T.StringType())])
+
+
+def _hyphens_asked(texts: DataFrame) -> DataFrame:
+    """kind, key of the broken words of ``texts``."""
+    broken = texts.filter(F.col("text").rlike(rf"[{BREAKS}][ \t]*\n"))
+
+    def make():
+        asking = Asking({}, {})
+
+        def work(values: list) -> Iterator[tuple]:
+            for text in values:
+                if content_class(text) is None:
+                    Lines(text, asking).result()
+            yield from asking.asked
+            asking.asked = set()
+
+        return work
+
+    return map_rows(broken.select("text"), make, ASKED).distinct()
+
+
+def _asked(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], by_text: bool = False) -> DataFrame:
+    """kind, key (``by_text``: after rec_id, field) of what the texts ask for; broken words are joined as the facts have it."""
+    spread = texts.sparkSession.sparkContext.broadcast((shared, chars))
+
+    def make():
+        asking = Asking(*spread.value, again=by_text)
+
+        def work(ids: list, fields: list, values: list, facts: list) -> Iterator[tuple]:
+            for i, field, text, own in zip(ids, fields, values, facts, strict=True):
+                if text:
+                    asking.facts = _with_own(spread.value[0], own)
+                    examine(text, asking)
+                if by_text:
+                    yield from ((i, field, *x) for x in asking.asked)
+                    asking.asked = set()
+            yield from asking.asked
+            asking.asked = set()
+
+        return work
+
+    return map_rows(texts.select("rec_id", "field", "text", "facts"), make, ASKED_BY if by_text else ASKED).distinct()
+
+
+def _with_own(shared: dict[tuple[str, str], str], own: list[dict] | None) -> dict[tuple[str, str], str]:
+    return {**shared, **{(f["kind"], f["key"]): f["answer"] for f in own}} if own else shared
+
+
+def _uses(asked: DataFrame, words: DataFrame, uses) -> DataFrame:
+    """key and a column for each role of ``uses(key)`` -> (role, word): the counts of the words a key is judged by."""
+
+    def make():
+        def work(keys: list) -> Iterator[tuple]:
+            for key in keys:
+                for role, word in uses(key):
+                    yield key, word, role
+
+        return work
+
+    used = map_rows(asked.select("key"), make, USED)
+    return used.join(words.select(F.col("key").alias("use"), "n"), "use", "left")
+
+
+def hyphen_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """kind, key, answer of the broken words whose hyphen is their own."""
+
+    def uses(key: str) -> list[tuple[str, str]]:
+        a, _, b = key.split("\t")
+        return [("joined", a + b), ("apart", f"{a}-{b}"), ("a", a), ("b", b)]
+
+    def n(role: str):
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(role)
+
+    rated = _uses(asked, words, uses).groupBy("key").agg(*map(n, ("joined", "apart", "a", "b")))
+    seen = (F.col("joined") > 0) | (F.col("apart") > 0)
+    own = F.when(seen, F.col("apart") > F.col("joined")).otherwise(~F.col("key").contains("\tsoft\t") & (F.col("a") >= LEAST) & (F.col("b") >= LEAST))
+    return rated.filter(own).select(F.lit("y").alias("kind"), "key", F.lit("own").alias("answer"))
+
+
+def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """kind, key, answer of the misread tokens: they meet the frequent words by what words taken for each other share."""
+    top = words.agg(F.max("n")).first()[0] or 0
+    own = _uses(asked, words, lambda key: [("own", w) for w in {_lower_form(key), _lower_form(key).lower(), key}])
+    rare = own.groupBy("key").agg(F.coalesce(F.max("n"), F.lit(0)).alias("own")).filter(F.col("own") * RATIO <= top)
+
+    def make_asked():
+        def work(keys: list, owns: list) -> Iterator[tuple]:
+            for key, n in zip(keys, owns, strict=True):
+                form = _lower_form(key)
+                for alike in _alike_keys(form):
+                    yield key, form, n, alike
+
+        return work
+
+    def make_targets():
+        def work(keys: list, ns: list) -> Iterator[tuple]:
+            for word, n in zip(keys, ns, strict=True):
+                for alike in _alike_keys(word):
+                    yield alike, word, n
+
+        return work
+
+    def make_judged():
+        def work(keys: list, forms: list, found: list, ns: list) -> Iterator[tuple]:
+            for key, form, word, n in zip(keys, forms, found, ns, strict=True):
+                if _misreadings(form, word) <= min(3, max(1, len(word) // 3)):
+                    yield key, word, n
+
+        return work
+
+    targets = map_rows(words.filter(F.col("n") >= LEAST).select("key", "n"), make_targets, TARGET)
+    asking = map_rows(rare, make_asked, RATED)
+    long = (F.length("form") > 3) | F.col("form").rlike("[0-9]")
+    least = F.greatest(F.lit(1), F.col("own")) * F.when(long, RATIO).otherwise(RATIO_SHORT)
+    met = asking.join(targets, "alike").filter((F.col("n") >= least) & (F.col("word") != F.col("form"))).select("key", "form", "word", "n")
+    judged = map_rows(met, make_judged, T.StructType([FACT.fields[1], *TARGET.fields[1:]]))
+    best = judged.groupBy("key").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
+    first = F.substring("key", 1, 1)
+    capital = (F.lower(first) != first) & (F.upper(first) == first)
+    answer = F.when(capital, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
+    return best.select(F.lit("t").alias("kind"), "key", answer.alias("answer"))
+
+
+def han_facts(asked: DataFrame, around: DataFrame, chars: dict[str, int]) -> DataFrame:
+    """kind, key, answer of the misread Han characters, keys being the character between its neighbours."""
+    tops = around.groupBy("key").agg(F.max(F.struct("n", "mid")).alias("t")).filter(F.col("t.n") >= LEAST).select("key", F.col("t.n").alias("n"), F.col("t.mid").alias("mid"))
+    uses = F.expr("array(struct(0 AS pos, concat(substring(key, 1, 1), substring(key, 3, 1)) AS use), struct(1 AS pos, concat(substring(key, 1, 1), char(0)) AS use), struct(2 AS pos, concat(char(0), substring(key, 3, 1)) AS use))")
+    used = asked.select("key", F.explode(uses).alias("u")).select("key", "u.pos", F.col("u.use").alias("use"))
+    met = used.join(tops.withColumnRenamed("key", "use"), "use").groupBy("key").agg(F.collect_list(F.struct("pos", "use", "n", "mid")).alias("met"))  # at most three
+
+    def make():
+        def work(keys: list, found: list) -> Iterator[tuple]:
+            for key, met in zip(keys, found, strict=True):
+                words = Words({}, {m["use"]: (m["mid"], m["n"]) for m in met}, {})
+                words.chars = chars
+                if mid := words.mid(*key):
+                    yield "m", key, mid
+
+        return work
+
+    return map_rows(met, make, FACT)
+
+
+def _given(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], facts: DataFrame, max_facts: int) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """(texts, shared facts) with ``facts``: shared by all workers if they are few, else joined to the texts that ask for them."""
+    if facts.limit(max_facts + 1).count() <= max_facts:
+        return texts, {**shared, **{(r["kind"], r["key"]): r["answer"] for r in facts.toLocalIterator()}}
+    asked = _asked(texts, shared, chars, by_text=True)
+    own = asked.join(facts, ["kind", "key"]).groupBy("rec_id", "field").agg(F.collect_list(F.struct("kind", "key", "answer")).alias("new"))
+    own = own.select(F.col("rec_id").alias("of"), F.col("field").alias("of_field"), "new")
+    met = texts.join(own, F.col("rec_id").eqNullSafe(F.col("of")) & F.col("field").eqNullSafe(F.col("of_field")), "left")
+    none = F.lit(None).cast(FACTS)
+    return met.withColumn("facts", F.when(F.col("new").isNull(), F.col("facts")).otherwise(F.concat(F.coalesce("facts", F.array().cast(FACTS)), F.coalesce("new", none)))).drop("of", "of_field", "new"), shared
+
+
+def judged(texts: DataFrame, max_facts: int = MAX_FACTS) -> tuple[DataFrame, Judged]:
+    """(texts with their own facts, judge with the shared ones): what every word and Han character of ``texts`` stands for.
 
-    The floor is found from a histogram of powers of two, so the collected part is bounded before it is collected. Rarer
-    words count as less than the floor: none of them can be what a misread word stands for.
+    Each is judged by the counts of all words and contexts, which it meets in equi-joins; only Han characters alone, at most
+    as many as there are, are collected.
     """
-    counts = checkpoint(counts)
-    tops = counts.filter("kind = 'h'").groupBy("key").agg(F.max(F.struct("n", "mid")).alias("t")).select(F.lit("h").alias("kind"), "key", "t.mid", "t.n")
-    kept = counts.filter("kind IN ('w', 'c')").unionByName(tops).filter("n > 1")
-    sizes = {(r["kind"], r["p"]): r["k"] for r in kept.groupBy("kind", F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("k")).collect()}
-    limit = F.lit(False)
-    for kind in "wch":
-        total, floor = 0, 64
-        for p in range(63, -1, -1):
-            total += sizes.get((kind, p), 0)
-            if total > max_words:
-                break
-            floor = p
-        limit = limit | ((F.col("kind") == kind) & (F.col("n") >= 2**floor if floor < 63 else F.lit(False)))
-    words: dict[str, int] = {}
-    contexts: dict[str, tuple[str, int]] = {}
-    chars: dict[str, int] = {}
-    for r in kept.filter(limit).toLocalIterator():
-        if r["kind"] == "w":
-            words[r["key"]] = r["n"]
-        elif r["kind"] == "h":
-            contexts[r["key"]] = (r["mid"], r["n"])
-        else:
-            chars[r["key"]] = r["n"]
-    return Words(words, contexts, chars)
+    texts = texts.select("rec_id", "field", "paper_key", "text").withColumn("facts", F.lit(None).cast(FACTS))
+    counts = checkpoint(corpus_counts(texts))
+    words = counts.filter("kind = 'w'").select("key", "n")
+    chars = {r["key"]: r["n"] for r in counts.filter("kind = 'c'").select("key", "n").toLocalIterator()}
+    shared: dict[tuple[str, str], str] = {}
+    hyphens = checkpoint(hyphen_facts(_hyphens_asked(texts), words))
+    texts, shared = _given(texts, shared, chars, hyphens, max_facts)
+    asked = checkpoint(_asked(texts, shared, chars))
+    found = word_facts(asked.filter("kind = 't'"), words).unionByName(han_facts(asked.filter("kind = 'm'"), counts.filter("kind = 'h'"), chars))
+    texts, shared = _given(texts, shared, chars, checkpoint(found), max_facts)
+    return texts, Judged(shared, chars)
 
 
 NOISE = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("paper_key", T.StringType()), T.StructField("noise_kind", T.StringType()), T.StructField("title", T.StringType()), T.StructField("sure", T.BooleanType())])
 REPAIRED = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def _run(texts: DataFrame, words: Words, schema: T.StructType, rows) -> DataFrame:
-    spread = texts.sparkSession.sparkContext.broadcast((words.counts, words.contexts, words.chars))
+def _run(texts: DataFrame, words: Words | None, schema: T.StructType, rows) -> DataFrame:
+    if words is None:
+        texts, judge = judged(texts)
+        given = (Judged, judge.facts, judge.chars)
+    else:
+        texts = texts.withColumn("facts", F.lit(None).cast(FACTS))
+        given = (Words, words.counts, words.contexts, words.chars)
+    spread = texts.sparkSession.sparkContext.broadcast(given)
 
     def make():
-        own = Words(*spread.value)
+        kind, *values = spread.value
+        judge = kind(*values)
 
-        def work(ids: list, fields: list, papers: list, values: list) -> Iterator[tuple]:
-            for i, field, paper, text in zip(ids, fields, papers, values, strict=True):
+        def work(ids: list, fields: list, papers: list, values: list, facts: list) -> Iterator[tuple]:
+            for i, field, paper, text, own in zip(ids, fields, papers, values, facts, strict=True):
                 if text and i is not None:
-                    yield from rows(i, field, paper, *examine(text, own))
+                    if own or kind is Judged:
+                        judge.facts = _with_own(spread.value[1], own)
+                    yield from rows(i, field, paper, *examine(text, judge))
 
         return work
 
-    return map_rows(texts.select("rec_id", "field", "paper_key", "text"), make, schema)
+    return map_rows(texts.select("rec_id", "field", "paper_key", "text", "facts"), make, schema)
 
 
 def page_noise(texts: DataFrame, titles: DataFrame, words: Words | None = None) -> DataFrame:
@@ -475,7 +696,6 @@ def page_noise(texts: DataFrame, titles: DataFrame, words: Words | None = None)
     blank texts have no noise; lists, tables and junk have no headers; repeated rows count once; a null paper has no
     known titles; extra columns are ignored; empty tables give no rows.
     """
-    words = words or frequent_words(corpus_counts(texts))
 
     def rows(i, field, paper, kinds, heads, fixed):
         for kind in kinds:
@@ -497,7 +717,6 @@ def page_noise(texts: DataFrame, titles: DataFrame, words: Words | None = None)
 
 def repaired(texts: DataFrame, words: Words | None = None) -> DataFrame:
     """rec_id, field, text: every text in continuous form; null texts and ids are left out, blank ones stay as they are."""
-    words = words or frequent_words(corpus_counts(texts))
     return _run(texts, words, REPAIRED, lambda i, field, paper, kinds, heads, fixed: [(i, field, fixed)])
 
 

@@ -299,6 +299,31 @@ def test_page_noise(spark):
     assert {(r.rec_id, r.text) for r in scans.repaired(df, words).collect() if r.rec_id == 4} == {(4, "half of the section")}
 
 
+def test_words_judged_by_all_counts(spark, monkeypatch):
+    rows = ["vehicle " * 2500 + "the " * 9000, "vehic1e", "a rare vehicie " * 60, "the re-\nuse of it", "re-use once", "the un-\nknown one", "的" * 100 + "平均句长" * 400, "平坷句长", "平冫均句长"]
+    df = spark.createDataFrame([(i, "text_plain", "p", t) for i, t in enumerate(rows)], "rec_id long, field string, paper_key string, text string")
+    titles = spark.createDataFrame([], "paper_key string, title string")
+    want = {(1, "ocr_char"), (5, "hyphen"), (7, "ocr_char"), (8, "ocr_char")}
+    for most in (scans.MAX_FACTS, 0):
+        monkeypatch.setattr(scans.judged, "__defaults__", (most,))
+        assert {(r.rec_id, r.noise_kind) for r in scans.page_noise(df, titles).collect() if r.noise_kind != "running_head"} == want
+        fixed = {r.rec_id: r.text for r in scans.repaired(df).collect()}
+        assert (fixed[1], fixed[3], fixed[5], fixed[7]) == ("vehicle", "the re-use of it", "the unknown one", "平均句长")
+
+
+def test_judged_like_the_whole_dictionary(spark):
+    texts = scans.scanned_texts(spark, SMALL)
+    counts: dict = {"w": {}, "c": {}, "h": {}}
+    for r in scans.corpus_counts(texts).collect():
+        if r.kind == "h":
+            counts["h"][r.key] = max(counts["h"].get(r.key, (0, "")), (r.n, r.mid))
+        else:
+            counts[r.kind][r.key] = r.n
+    words = scans.Words(counts["w"], {k: (m, n) for k, (n, m) in counts["h"].items()}, counts["c"])
+    want = {tuple(r) for r in scans.repaired(texts, words).collect()}
+    assert {tuple(r) for r in scans.repaired(texts).collect()} == want
+
+
 # ---- languages
 
 TEXTS = {
