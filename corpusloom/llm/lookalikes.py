@@ -40,6 +40,7 @@ HYPHENS = "‐‑﹣－⁃"
 #: Decompositions whose result looks the same.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 LIGATURES = range(0xFB00, 0xFB50)
+RADICALS = range(0x2E80, 0x2FE0)
 
 SWITCH, CHANGE, OUTSIDE = 8.0, 0.5, 6.0
 
@@ -58,7 +59,7 @@ def _table() -> dict[int, str | None]:
             out[cp] = None
         else:
             how = unicodedata.decomposition(ch).split(" ")[0]
-            if how in SAME_LOOK or how == "<compat>" and (cp in LIGATURES or 0x132 <= cp <= 0x133 or 0x1C4 <= cp <= 0x1CC or 0x1F1 <= cp <= 0x1F3):
+            if how in SAME_LOOK or how == "<compat>" and (cp in LIGATURES or cp in RADICALS or cp == 0xB5 or 0x132 <= cp <= 0x133 or 0x1C4 <= cp <= 0x1CC or 0x1F1 <= cp <= 0x1F3):
                 out[cp] = unicodedata.normalize("NFKC", ch)
     out[ord("\t")] = " "
     return out
@@ -76,7 +77,6 @@ LETTER = "A-Za-zªµºÀ-ɏͰ-Ͽἀ-῿Ѐ-ԯḀ-ỿ"
 TOKEN = re.compile(f"[{LETTER}]+")
 SUSPECT = re.compile(f"[{FOREIGN}]")
 SPECIAL = re.compile("[" + "".join(re.escape(chr(cp)) for cp in TABLE) + "]")
-MARKS = re.compile("[̀-ͯٓ-゙゚ٕ]")
 CYRILLIC, GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]")
 RUNS = re.compile(" {2,}")
 
@@ -121,7 +121,7 @@ class Canonical:
         if not text.isascii():
             if SPECIAL.search(text):
                 text = text.translate(TABLE)
-            if MARKS.search(text):
+            if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if SUSPECT.search(text):
                 # look-alikes are left out, so that swapped letters don't move the vote

@@ -97,6 +97,13 @@ def test_canonical_forms():
     assert form(russian.replace("о", "o")) == russian
 
 
+def test_singletons_and_radicals():
+    form = lookalikes.Canonical()
+    for a, b in [("at 5 \u212a", "at 5 K"), ("\u212b", "\xc5"), ("\u2126", "\u03a9"), ("\uf900", "\u8c48"), ("\U0002f800", "\u4e3d"), ("\u2f00\u6587", "\u4e00\u6587"), ("5 \xb5m", "5 \u03bcm"), ("\u0958", "\u0915\u093c")]:
+        assert form(a) == form(b) == form(form(a)), (a, b)
+        assert form(a + " e\u0301") == form(b) + " \xe9"
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "the same text"), (2, "the same tеxt"), (3, "the same text"), (4, "the​ same text"), (5, None), (6, "  "), (7, "​"), (None, "the same text"), (2, "the same tеxt"), (8, "alone"), (8, "аlone")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "k long, t string, key_a string")
