@@ -1,7 +1,7 @@
 """Sentences of texts in spaced and spaceless scripts, as half-open spans of code points.
 
-Paragraphs (blank lines) are split first. In spaced scripts every run of terminators is a node of a lattice whose two
-ways, end or go on, are scored from its left token (abbreviation, initial, figure, ordinal, file name), the quotation or
+Paragraphs (blank lines) are split first. In spaced scripts every run of terminators is judged for itself by plain rules,
+without scores or a search: from its left token (abbreviation, initial, figure, ordinal, file name), the quotation or
 bracket around it and the word to its right; in Chinese and Japanese from the closing marks and the particles that
 follow. Thai has no terminators: its runs are segmented by a lattice over a dictionary, and the gaps between words are
 classified by final and opening words. Which words open sentences, also small ones ("iMetric"), is counted over the
@@ -32,6 +32,13 @@ MAYBE = frozenset("etc usw inc ltd co corp a.m p.m u.s u.k e.u al ff f jr uu ee.
 ABBREVIATED = NEVER | MAYBE
 #: Those that are abbreviations only before a figure.
 BEFORE_FIGURE = frozenset("no art s p t ch cap sec fig tab ed vol d m f".split())
+#: Abbreviations that are units after a figure, and then end a sentence if a new one follows.
+UNITS = frozenset("mm sec st".split())
+#: Capital words that open sentences and are no part of a name, so that a letter before them is no initial.
+NO_NAME = frozenset(
+    """The This That These Those It He She We They There Then But However When After Before While Although Because If Since Its Their
+    Der Die Dies Diese Dieser Es Wir Sie Aber Wenn Danach Dann Nach Cette Ces Elle Nous Ils Mais Quand Puis Este Esta Estos Pero Cuando Después""".split()
+)
 #: German words before an ordinal.
 BEFORE_ORDINAL = frozenset("der die das den dem des am im vom zum zur beim ab bis seit und oder jeder jede jedes jeden einen ein eine vor nach".split())
 
@@ -55,6 +62,9 @@ QUOTES = "\"“”„«»「」『』‹›‚‘"
 PARTICLES = re.compile(r"(?:と|って|は|が|を|に|の|も|で|へ|や|という|的|等)")
 GOES_ON = "，、；：,;:)]）」』”%％"
 FIGURE = re.compile(r"[\d][\d.,]*")
+#: What stands before a capital letter that belongs to a small word ("vitamin C"), and before a unit.
+BEFORE_LETTER = re.compile(r"(?<![^\W_])[a-zà-ÿ]{3,}\s$")
+AFTER_FIGURE = re.compile(r"\d\s$")
 TOKEN_LEFT = re.compile(r"\S*$")
 WORD_RIGHT = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 THAI_RUN = re.compile(r"[฀-๿]+(?:[ 　]+[฀-๿]+)*")
@@ -254,9 +264,13 @@ class Splitter:
         if len(token) == 1 and token.isalpha():
             if self._leads_line(para, a - 1, b):
                 return False
+            if token.isupper() and (word := WORD_RIGHT.match(para, at)) and word.group() in NO_NAME:
+                return BEFORE_LETTER.search(para[max(0, a - 40) : a - 1]) is not None
             return not token.isupper() and low not in NEVER and low not in BEFORE_FIGURE and self._starts_new(para, at)
         if low in BEFORE_FIGURE and after.isdigit():
             return False
+        if token in UNITS and AFTER_FIGURE.search(para[max(0, a - len(token) - 2) : a - len(token)]) and after.isupper():
+            return True
         if low in NEVER:
             return False
         if low in MAYBE:

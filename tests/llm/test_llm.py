@@ -258,6 +258,13 @@ def test_sentence_goldens():
         assert [text[a:b] for a, b in splitter.spans(text)] == want, text
 
 
+def test_letters_and_units_end_sentences():
+    for text in ("It is rich in vitamin C. The next one isn't.", "The gap was 5 mm. Then it closed.", "It took 20 sec. After that it ended."):
+        assert len(sentences.Splitter().spans(text)) == 2, text
+    for text in ("It was told by J. Thew of A. B. Wu, and M. Roy left.", "See MM. Roy and Sec. Two of it.", "The work by T. This and others"):
+        assert len(sentences.Splitter().spans(text)) == 1, text
+
+
 def test_small_openers():
     splitter = sentences.Splitter(sentences.Openers(small=frozenset(["pgtool"])))
     text = "It ended in the old run. pgtool shows it. See the old run. and more"
