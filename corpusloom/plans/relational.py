@@ -177,7 +177,10 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _results(spark, sf_dir).select(F.col("place").alias("key"), F.lit(None).cast("string").alias("arxiv_id"), "doi", "title")
+    """Names of landed documents and how many are taken twice; without a paper the name is a digest of the whole text."""
+    text = F.coalesce("text", F.lit(""))
+    title = F.when(F.trim(text) != "", F.concat(F.md5(text), F.lit(" "), F.substring(text, 1, 20))).otherwise(F.lit(""))
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(None).cast("string").alias("arxiv_id"), F.col("paper_key").alias("doi"), title.alias("title"))
     return search.manifest(r).groupBy("duplicate").agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("n_names"))
 
 

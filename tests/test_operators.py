@@ -175,3 +175,13 @@ def test_alignment(spark):
     assert align.aligned(df).groupBy("doc_id").count().collect().__len__() == 2
     loss = align.text_layer_loss(spark.createDataFrame([(1, "a1.2", "a1"), (2, None, "x")], "doc_id long, layer string, converted string")).collect()
     assert [(r.digit_loss, r.punct_loss) for r in loss] == [(0.5, 1.0), (None, None)]
+
+
+def test_download_names_of_whole_texts(spark, tmp_path):
+    from corpusloom.plans import relational
+
+    same = "the same forty characters of two texts, and then "
+    rows = [(1, None, same + "one"), (2, None, same + "two"), (3, None, "equal"), (4, None, "equal"), (5, "p", same), (6, None, None), (7, None, " ")]
+    spark.createDataFrame(rows, "doc_id long, paper_key string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in relational.download_names(spark, str(tmp_path)).collect()}
+    assert got == {(True, 4, 2), (False, 3, 3)}
