@@ -89,6 +89,14 @@ def walk(text: str) -> Iterator[tuple[list[str], list[str], bool | None]]:
         yield tokens, shapes, None
 
 
+def _last_word(bare: str) -> tuple[str | None, bool]:
+    """(the final token of a line that is no running text, whether it may be a name); parts of links and codes are none."""
+    final = WORD.search(bare)
+    if final is None or not (final.start() == 0 or bare[final.start() - 1] in " \t\n|(["):
+        return None, False
+    return final.group().lower(), final.group()[0].isupper()
+
+
 def ending(text: str) -> tuple[str, bool, int, str | None, bool, list[int]]:
     """(state, has a sign of a cut, length without it, final token, final token is a name, context keys).
 
@@ -106,13 +114,13 @@ def ending(text: str) -> tuple[str, bool, int, str | None, bool, list[int]]:
     kind = content_class(body)
     last_line = bare[bare.rfind("\n") + 1 :].strip()
     if kind is not None:
-        return ("other" if kind != "junk" else "junk"), marked, length, None, False, []
+        return ("junk", marked, length, None, False, []) if kind == "junk" else ("other", marked, length, *_last_word(bare), [])
     if not marked and TAIL_MARK.search(bare):
         return "closed", marked, length, None, False, []
     if bare[-1] in "<{[&":
         return "broken", marked, length, None, False, []
     if STRUCTURE.match(last_line) or last_line.endswith("```"):
-        return "closed", marked, length, None, False, []
+        return "closed", marked, length, *_last_word(bare), []
     if ENDED.search(bare) and not DIGIT_STOP.search(bare):
         return "ended", marked, length, None, False, []
     tail = bare[-400:]
@@ -256,7 +264,7 @@ def truncated(docs: DataFrame) -> DataFrame:
         | (is_open & (limited | (fragment & ~F.col("is_name"))))
         | (is_open & (share < SELDOM) & ~new_name)
         | ((F.col("state") == "figure") & F.col("end_share").isNotNull() & (share < SELDOM_FIGURE))
-        | ((F.col("state") == "other") & F.col("at_limit"))
+        | (F.col("state").isin("closed", "other") & (limited | (fragment & ~F.col("is_name"))))
     )
     return out.select("doc_id", "source", "state", "marked", "at_limit", "final", "is_name", "here", "longer", "end_share", cut.alias("cut"))
 

@@ -428,6 +428,14 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_cut_lines_that_are_no_prose(spark):
+    whole = [(i, "s", "The second engine explains the glossary and the reading order of it.") for i in range(30)]
+    cut = [(100, "t", "It holds.\n\n## The reading ord"), (101, "t", "[3] The second engine [truncated]"), (102, "t", "- one engine\n- two engines\n- three gloss"), (103, "t", "| a | b |\n| 1 | 2 |\n| 3 | 4 [truncated]")]
+    kept = [(200, "t", "It holds.\n\n## The reading order"), (201, "t", "See\nhttps://a.org/eng"), (202, "t", "- one engine\n- two orders\n- three engine")]
+    df = spark.createDataFrame(whole + cut + kept, "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.truncated(df).filter("cut").collect()} == {100, 101, 102, 103}
+
+
 def test_field_limits(spark):
     rng = random.Random(2)
     ends = [("a", 200)] * 30 + [("a", rng.randrange(50, 400)) for _ in range(100)] + [("b", rng.randrange(50, 400)) for _ in range(100)] + [(None, 99)] * 9
