@@ -138,16 +138,66 @@ def test_leaks(spark):
 def test_best_stretch_by_brute_force():
     rng = random.Random(1)
     for _ in range(200):
-        a = [rng.choice("ab") for _ in range(rng.randrange(1, 25))]
-        b = [rng.choice("ab") for _ in range(rng.randrange(1, 25))]
-        k = rng.randrange(-6, 7)
-        eq = {i: a[i + k] == b[i] for i in range(len(b)) if 0 <= i + k < len(a)}
+        eq = [rng.random() < 0.8 for _ in range(rng.randrange(1, 40))]
         want = 0
-        for i in eq:
-            for j in eq:
-                if i <= j and eq[i] and eq[j] and sum(not eq[x] for x in range(i, j + 1)) * 10 <= j - i + 1:
+        for i in range(len(eq)):
+            for j in range(i, len(eq)):
+                if eq[i] and eq[j] and sum(not x for x in eq[i : j + 1]) * 10 <= j - i + 1:
                     want = max(want, j - i + 1)
-        assert leakage.best_stretch(a, b, k)[0] == want
+        assert leakage.best_stretch(eq)[0] == want
+
+
+NAMES = {"Harkel": "Pelvin", "Rinbry": "Masgam", "Holbry": "Wesdov", "Cobsol": "Tashqua"}
+NUMBERS = {"128": "99", "52": "7", "325": "8", "35.23": "1.5"}
+
+
+def test_reparameterised_passages(spark):
+    """All names, all numbers, or both are others: met by template, leaked by none."""
+
+    def swapped(by):
+        text = ITEM
+        for a, b in by.items():
+            text = text.replace(a, b)
+        return text
+
+    docs = [swapped(NAMES), swapped(NUMBERS), swapped(NAMES | NUMBERS), ITEM, swapped({"128": "99"})]
+    assert leaked(spark, docs) == {(3, 1), (4, 1)}
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert {(r.doc_id, r.n_items) for r in leakage.reparameterised(d, i).collect()} == {(0, 1), (1, 1), (2, 1)}
+    assert leakage.reparameterised(d.limit(0), i).count() == 0
+    plan = leakage.leaks(d, i)._jdf.queryExecution().toString()
+    assert "hashpartitioning(text" not in plan and "Join" not in plan
+
+
+def test_names_beside_ideographs(spark):
+    assert leakage.names_in(ITEM_ZH) == {"drezethar", "grisol", "nokvinfen"}
+    other = ITEM_ZH.replace("Grisol", "Yaruld").replace("Nokvinfen", "Rintor")
+    assert leaked(spark, [other[35:]]) == set()
+
+
+def test_blocks_of_items_and_slices_of_pairs(spark, monkeypatch):
+    """Items in many blocks, documents in many slices and repeated passages give the same rows."""
+    rng = random.Random(5)
+    words = [rng.choice("kelvin masgam torlun pelvin wesdov quabry the of and a in table draft score label band".split()) for _ in range(4000)]
+    items = [(k, " ".join(words[k * 40 : k * 40 + 36])) for k in range(30)] + [(7, ITEM), (None, ITEM), (8, "short one")]
+    docs = [" ".join(words[a : a + 90]) for a in range(0, 1200, 37)] + [(ITEM + " ") * 40, " ".join(words)]
+    want = leaked(spark, docs, items)
+    low = [[leakage.lower(t) for t in leakage.tokens(x)] for x in docs]
+    brute = set()
+    for k, text in items:
+        b = [leakage.lower(t) for t in leakage.tokens(text)]
+        for d, a in enumerate(low):
+            if k is not None and any(leakage.best_stretch([a[x + diag] == b[x] for x in range(max(0, -diag), min(len(b), len(a) - diag))])[0] >= 20 for diag in range(-len(b), len(a))):
+                brute.add((d, k))
+    assert want == brute
+    monkeypatch.setattr(leakage.leaks, "__defaults__", (300,))
+    assert leaked(spark, docs, items) == want
+    finder = leakage.Finder(leakage.Items.build([(k, t) for k, t in items if k is not None]))
+    whole = sorted(x for x in finder.find(docs) if x[1] is not None)
+    monkeypatch.setattr(leakage, "CHUNK", 50)
+    monkeypatch.setattr(leakage, "PAIRS", 3)
+    assert sorted(x for x in finder.find(docs) if x[1] is not None) == whole
 
 
 # ---- quality
