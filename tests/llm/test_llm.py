@@ -498,3 +498,43 @@ def test_trie_nodes(spark):
     assert {tuple(r) for r in nodes.collect()} == {("a", 0, 5), ("an", 3, 2), ("ant", 2, 0), ("b", 1, 0)}
 
 
+    words = spark.createDataFrame([("an", 3), ("ant", 2), ("b", 1)], "word string, n long")
+    asked = truncation.asked_buckets(spark.createDataFrame([("an",)], "final string"), "final")
+    assert asked.sum() == 1
+    assert {tuple(r) for r in truncation.trie_nodes(words, asked).collect()} == {("an", 3, 2)}
+
+
+def test_only_the_trie_finds_fragments(spark):
+    """Final tokens that no context knows are decided by the trie alone; complete unknown words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1, "w", "It reports the lower bound of the docum"), (-2, "w", "It reports the lower bound of the zqxv")], "doc_id long, source string, text string")
+    found = truncation.evidence(docs.select("doc_id", "source", "text").unionByName(extra)).withColumn("with_trie", truncation.score() > 0).withColumn("without", truncation.score(False) > 0)
+    rows = {r.doc_id: (r.with_trie, r.without) for r in found.collect()}
+    assert rows[-1] == (True, False) and rows[-2] == (False, False)
+    assert sum(a and not b for a, b in rows.values()) > 1
+
+
+def test_no_key_gathers_the_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ends = truncation.keyed(truncation.endings(docs)).cache()
+    n = ends.count()
+    for key in ("tail", "prefix"):
+        assert max(r["count"] for r in ends.groupBy(key).count().collect()) <= 0.02 * n
+
+
+def test_counts_by_brute_force(spark):
+    """Contexts of the asked buckets are counted as without them, and a context's counts are those of a plain walk."""
+    texts = ["The red cat sat. The red cat ran here", "A red cat. Zoé sat at 3.5 m. 好的句子。好", None, "", "red cat\n. x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = {(r.kind, r.key, r.word): (r.n, r.ends) for r in truncation.corpus_counts(df).collect()}
+    assert (whole["w", None, "cat"], whole["w", None, "#"] if ("w", None, "#") in whole else None) == ((4, 0), None)
+    codes = truncation.Codes()
+    keys = truncation.ending("a red cat", codes)[5]
+    assert whole["c", keys[2], None] == (4, 2)
+    assert whole["c", keys[4], None] == (4, 2)
+    import numpy as np
+
+    asked = np.zeros(truncation.BUCKETS, bool)
+    asked[keys[2] & (truncation.BUCKETS - 1)] = True
+    some = {(r.kind, r.key, r.word): (r.n, r.ends) for r in truncation.corpus_counts(df, asked).filter("kind = 'c'").collect()}
+    assert some == {k: v for k, v in whole.items() if k[0] == "c" and asked[k[1] & (truncation.BUCKETS - 1)]}
