@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import log
 
@@ -76,7 +76,20 @@ FOREIGN = "".join(ch for row in LOOKALIKES for ch in row[1:] if ch != " ")
 LETTER = "A-Za-zªµºÀ-ɏͰ-Ͽἀ-῿Ѐ-ԯḀ-ỿ"
 TOKEN = re.compile(f"[{LETTER}]+")
 SUSPECT = re.compile(f"[{FOREIGN}]")
-SPECIAL = re.compile("[" + "".join(re.escape(chr(cp)) for cp in TABLE) + "]")
+
+
+def _ranges(points: Iterable[int]) -> str:
+    """Code points as the ranges of a character class; single ones beyond the basic plane are slow to search for."""
+    out: list[list[int]] = []
+    for cp in sorted(points):
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+SPECIAL = re.compile(f"[{_ranges(TABLE)}]")
 CYRILLIC, GREEK = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]")
 RUNS = re.compile(" {2,}")
 
