@@ -1,10 +1,12 @@
 """Repair of text from scanned pages: broken words, misread characters, running titles and page numbers.
 
 The lines of a text are labelled body, broken (body whose last word goes on in the next line), header or page number by
-a linear chain over layout features (width, blank neighbours, how the sentence flows around the line, letter case,
-figures), decoded by Viterbi. Headers the layout alone leaves in doubt are settled by the paper's running titles, joined
-by (paper, title prefix), or by standing in several blocks of the paper. Whether a hyphen is the word's own, and whether
-a word was misread, is decided by the counts of words over the whole corpus.
+a linear-chain conditional model over layout features (width, blank neighbours, how the sentence flows around the line,
+letter case, figures), decoded by Viterbi. Its weights are fitted on the corpus itself, on a bounded sample of texts whose
+header lines are known because they are running titles of the paper; the prior they are drawn to holds where a corpus has
+no such lines. Headers the layout alone leaves in doubt are settled by the paper's running titles, joined by (paper, title
+prefix), or by standing in several blocks of the paper. Whether a hyphen is the word's own, and whether a word was misread,
+is decided by the counts of words over the whole corpus.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm._arrow import map_rows
+from corpusloom.llm._arrow import map_rows, once
 from corpusloom.llm.lookalikes import Canonical
-from corpusloom.llm.quality import content_class
+from corpusloom.llm.quality import content_class, is_unreadable
 from corpusloom.session import checkpoint
 from corpusloom.session import texts as table
 
@@ -51,16 +55,102 @@ BESIDE = re.compile(r"(?:\s{2,}|\s*[|·•]\s*)[-–—\[(]?\s*\d{1,5}\s*[-–
 STOPS = ".!?;:,。！？；：，、…।؟"
 ENDS = re.compile(r"[.!?。！？…।؟][\"'”’»」』）)\]]*$")
 INSIDE = re.compile(r"[a-zà-ÿа-я0-9][.!?;]\s+[A-ZÀ-ÞА-Я]|[。！？；]")
+COMMA = re.compile(r"[，、；]|[,;:] ")
 DIGITS = re.compile(r"\d")
 BLANKS = re.compile(r"\s+")
 
 _form = Canonical()
 
 BODY, BROKEN, HEAD, NUMBER = range(4)
-#: Weights of the layout features for a header, and the scores from which it is sure or in doubt.
-WEIGHT = {"blank": 2.0, "flow": 2.5, "wrap": 1.5, "capital": 1.0, "upper": 3.0, "stop": -4.0, "inside": -6.0, "full": -2.0, "edge": -1.5, "beside": 3.5, "name": 1.0, "lower": -2.0}
-SURE, DOUBT = 5.5, 1.0
-NEXT_TO = 1.0
+#: What a line is described by: what stands around it, how it begins and ends, whether it can be a title or a number at all.
+FEATURES = ("any", "blank", "flow", "wrap", "capital", "upper", "stop", "inside", "full", "edge", "beside", "name", "lower", "untitled", "number", "hyphen", "comma", "short", "long")
+PLACE = {name: i for i, name in enumerate(FEATURES)}
+#: Prior weights of the features by label (a body line has none), and of a label after another one.
+PRIOR = {
+    HEAD: {"any": -5.5, "blank": 2.0, "flow": 2.5, "wrap": 1.5, "capital": 1.0, "upper": 3.0, "stop": -4.0, "inside": -6.0, "full": -2.0, "edge": -1.5, "beside": 3.5, "name": 1.0, "lower": -2.0, "untitled": -20.0, "number": -20.0},
+    NUMBER: {"any": -9.0, "number": 15.0},
+    BROKEN: {"any": -9.0, "hyphen": 12.0},
+}
+PRIOR_AFTER = {(HEAD, NUMBER): 1.0, (NUMBER, HEAD): 1.0, (HEAD, HEAD): -1.0}
+#: A header that the layout alone leaves in doubt has at least these log odds against body; beside another header or number one less.
+DOUBT, NEAR = -4.5, 1.0
+#: Texts that the weights are fitted on, at most, and their greatest length.
+SAMPLE, SAMPLE_CHARS = 2_000, 20_000
+#: How strongly the weights are drawn to the prior, steps of the fit and their size.
+DRAWN, STEPS, STEP = 5.0, 80, 0.15
+
+
+class Chain:
+    """Weights of the line labels: ``emit`` by label and feature, ``after`` by label and the one before."""
+
+    def __init__(self, emit: np.ndarray | None = None, after: np.ndarray | None = None):
+        if emit is None or after is None:
+            emit, after = np.zeros((4, len(FEATURES))), np.zeros((4, 4))
+            for label, weights in PRIOR.items():
+                for name, w in weights.items():
+                    emit[label, PLACE[name]] = w
+            for (before, label), w in PRIOR_AFTER.items():
+                after[before, label] = w
+        self.emit, self.after = emit, after
+        self.rows = emit.tolist()
+        self.steps = after.tolist()
+        self.lower = self.rows[HEAD][PLACE["lower"]]
+
+    def scores(self, features: list[int]) -> list[float]:
+        """The score of each label for a line with these features."""
+        return [sum(row[k] for k in features) for row in self.rows]
+
+    @classmethod
+    def fit(cls, texts: list[tuple[list[list[int]], list[int]]]) -> Chain:
+        """Fitted on (features of each line, labels) by the conditional likelihood of whole texts, drawn to the prior."""
+        prior = cls()
+        texts = [t for t in texts if t[0]]
+        if not texts:
+            return prior
+        n, longest = len(texts), max(len(f) for f, _ in texts)
+        x = np.zeros((n, longest, len(FEATURES)))
+        gold = np.zeros((n, longest, 4))
+        there = np.zeros((n, longest), bool)
+        for t, (features, labels) in enumerate(texts):
+            for i, (f, label) in enumerate(zip(features, labels, strict=True)):
+                x[t, i, f] = 1
+                gold[t, i, label] = 1
+                there[t, i] = True
+        gold_after = np.einsum("tib,tia->ba", gold[:, :-1], gold[:, 1:])
+        flat = x.reshape(-1, len(FEATURES))
+        gold_emit = gold.reshape(-1, 4).T @ flat
+        emit, after = prior.emit.copy(), prior.after.copy()
+        moments = [np.zeros_like(emit), np.zeros_like(after), np.zeros_like(emit), np.zeros_like(after)]
+        for step in range(1, STEPS + 1):
+            unary, pairs = _expected((flat @ emit.T).reshape(n, longest, 4), after, there)
+            grads = (gold_emit - unary.reshape(-1, 4).T @ flat - DRAWN * (emit - prior.emit), gold_after - pairs - DRAWN * (after - prior.after))
+            for k, (w, g) in enumerate(zip((emit, after), grads, strict=True)):
+                moments[k] = 0.9 * moments[k] + 0.1 * g
+                moments[k + 2] = 0.99 * moments[k + 2] + 0.01 * g * g
+                w += STEP * (moments[k] / (1 - 0.9**step)) / (np.sqrt(moments[k + 2] / (1 - 0.99**step)) + 1e-8)
+        return cls(emit, after)
+
+
+def _expected(scores: np.ndarray, after: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each label at each line, expected uses of each pair of labels) of a chain, all texts at once."""
+    n, longest, k = scores.shape
+    own = np.exp(scores - scores.max(axis=2, keepdims=True))
+    step = np.exp(after)
+    ahead, back = np.empty((longest, n, k)), np.ones((longest, n, k))
+    size = np.ones((longest, n, 1))
+    for i in range(longest):
+        now = own[:, i] if i == 0 else np.where(there[:, i, None], (ahead[i - 1] @ step) * own[:, i], ahead[i - 1])
+        size[i] = now.sum(axis=1, keepdims=True)
+        ahead[i] = now / size[i]
+    pairs = np.zeros((k, k))
+    for i in range(longest - 1, 0, -1):
+        reached = np.where(there[:, i, None], own[:, i] * back[i] / size[i], 0.0)
+        pairs += step * (ahead[i - 1].T @ reached)
+        back[i - 1] = np.where(there[:, i, None], reached @ step.T, 1.0)
+    return (ahead * back).transpose(1, 0, 2) * there[:, :, None], pairs
+
+
+DEFAULT = Chain()
 
 
 def norm_title(text: str) -> str:
@@ -251,18 +341,18 @@ class Judged(Words):
         return ("y", _hyphen_key(a, mark, b)) in self.facts
 
     def meant(self, token: str) -> str | None:
-        return self.facts.get(("t", token))
+        word = self.facts.get(("t", _lower_form(token)))
+        return word[0].upper() + word[1:] if word and token[0].isupper() else word
 
     def mid(self, before: str, ch: str, after: str) -> str:
         return self.facts.get(("m", before + ch + after), "")
 
 
 class Asking(Judged):
-    """Notes what is asked about, in ``asked`` as (kind, key); ``again``: also what was asked before."""
+    """Notes what is asked about, in ``asked`` as (kind, key)."""
 
-    def __init__(self, facts: dict[tuple[str, str], str], chars: dict[str, int], again: bool = False):
+    def __init__(self, facts: dict[tuple[str, str], str], chars: dict[str, int]):
         super().__init__(facts, chars)
-        self.again = again
         self.asked: set[tuple[str, str]] = set()
 
     def own_hyphen(self, a: str, mark: str, b: str) -> bool:
@@ -270,13 +360,8 @@ class Asking(Judged):
         return super().own_hyphen(a, mark, b)
 
     def fix_words(self, text: str) -> tuple[str, bool]:
-        new = set(WORD.findall(text)) - self.fine
-        for token in new:
-            self.asked.update(("t", part) for part in ((token,) if token.isalnum() else re.split(r"[-'’‐‑]", token)) if _can_be_misread(part))
-        if not self.again:
-            if len(self.fine) > 1_000_000:
-                self.fine.clear()
-            self.fine |= new
+        for token in set(WORD.findall(text)):
+            self.asked.update(("t", _lower_form(part)) for part in ((token,) if token.isalnum() else re.split(r"[-'’‐‑]", token)) if _can_be_misread(part))
         return text, False
 
     def mid(self, before: str, ch: str, after: str) -> str:
@@ -288,10 +373,15 @@ def _hyphen_key(a: str, mark: str, b: str) -> str:
     return "\t".join((a.lower().replace("‐", "-"), "soft" if mark in "¬\xad" else "", b.lower().replace("‐", "-")))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; letters that only look different are one."""
+    return WORD.findall(text if text.isascii() else _form(text))
+
+
 def _can_be_misread(token: str) -> bool:
     letters = sum(map(str.isalpha, token))
     digits = DIGITS.search(token) is not None
-    return not (letters < 2 or len(token) > 40 or (digits and (letters < len(token) / 2 or re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|º|ª|[a-z])", token, re.I))))
+    return not (letters < 2 or (digits and (letters < len(token) / 2 or re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|º|ª|[a-z])", token, re.I))))
 
 
 def _lower_form(token: str) -> str:
@@ -302,7 +392,7 @@ def _lower_form(token: str) -> str:
 class Lines:
     """The labelled lines of one text."""
 
-    def __init__(self, text: str, words: Words):
+    def __init__(self, text: str, words: Words, chain: Chain):
         raw = text.split("\n")
         self.lines = [x.strip() for x in raw if x.strip()]
         blank: list[bool] = []
@@ -315,10 +405,14 @@ class Lines:
                 gap = bool(blank)
         self.blank_before = blank
         self.words = words
+        self.chain = chain
         self.upper = sum(map(str.isupper, text)) > sum(map(str.islower, text))
         self.width = max(map(len, self.lines), default=0)
         self.number = [_is_number(x) for x in self.lines]
-        self.head = [self._head(i) for i in range(len(self.lines))]
+        self.broken = [i + 1 < len(self.lines) and x[-1] in BREAKS and BROKEN_END.search(x) is not None for i, x in enumerate(self.lines)]
+        self.features = [self._features(i) for i in range(len(self.lines))]
+        self.scores = [chain.scores(f) for f in self.features]
+        self.odds = [s[HEAD] - s[BODY] for s in self.scores]
         self.labels = self._decode()
 
     def _neighbour(self, i: int, step: int) -> str | None:
@@ -327,59 +421,64 @@ class Lines:
             j += step
         return self.lines[j] if 0 <= j < len(self.lines) else None
 
-    def _head(self, i: int) -> float:
+    def _features(self, i: int) -> list[int]:
+        """The features of a line that hold, as places in ``FEATURES``."""
         line = self.lines[i]
-        beside = _beside(line)
-        if self.number[i] or sum(map(str.isalpha, line)) < 4 or len(line) > 90:
-            return -9.0
-        before, after = self._neighbour(i, -1), self._neighbour(i, 1)
-        score = WEIGHT["beside"] * beside
-        if self.blank_before[i] or (i + 1 < len(self.lines) and self.blank_before[i + 1]):
-            score += WEIGHT["blank"]
-        flows = before is not None and not ENDS.search(before)
-        goes_on = after is not None and (after[0].islower() or after[0].isdigit() or "぀" <= after[0] <= "鿿" or after[0] in "([\"'«“„" or self.upper)
-        starts = line[0].isupper() or "぀" <= line[0] <= "鿿" or line[0].isdigit()
-        if flows and goes_on:
-            score += WEIGHT["flow"]
-            if starts:
-                score += WEIGHT["capital"]
-        if after is not None:
-            first = after.split(" ", 1)[0]
-            if len(line) + 1 + len(first if len(first) < 30 else first[:1]) <= self.width - 1 and not BROKEN_END.search(line):
-                score += WEIGHT["wrap"]
-        if before is None or after is None:
-            score += WEIGHT["edge"]
-        if line[0].islower() and not beside:
-            score += WEIGHT["lower"]
-        if line.isupper() and not self.upper and sum(map(str.isalpha, line)) >= 6:
-            score += WEIGHT["upper"]
-        last = line.rsplit(" ", 1)[-1]
-        if " " in line and last[:1].isupper() and not line.isupper():
-            score += WEIGHT["name"]
-        if line[-1] in STOPS:
-            score += WEIGHT["stop"]
-        if INSIDE.search(line):
-            score += WEIGHT["inside"]
-        if len(line) >= 0.97 * self.width and len(self.lines) > 2:
-            score += WEIGHT["full"]
-        return score
+        out = ["any"]
+        if self.broken[i]:
+            out.append("hyphen")
+        if self.number[i]:
+            out.append("number")
+        elif sum(map(str.isalpha, line)) < 4 or len(line) > 90:
+            out.append("untitled")
+        else:
+            beside = _beside(line)
+            before, after = self._neighbour(i, -1), self._neighbour(i, 1)
+            if beside:
+                out.append("beside")
+            if self.blank_before[i] or (i + 1 < len(self.lines) and self.blank_before[i + 1]):
+                out.append("blank")
+            flows = before is not None and not ENDS.search(before)
+            goes_on = after is not None and (after[0].islower() or after[0].isdigit() or "぀" <= after[0] <= "鿿" or after[0] in "([\"'«“„" or self.upper)
+            starts = line[0].isupper() or "぀" <= line[0] <= "鿿" or line[0].isdigit()
+            if flows and goes_on:
+                out.append("flow")
+                if starts:
+                    out.append("capital")
+            if after is not None:
+                first = after.split(" ", 1)[0]
+                if len(line) + 1 + len(first if len(first) < 30 else first[:1]) <= self.width - 1 and not self.broken[i]:
+                    out.append("wrap")
+            if before is None or after is None:
+                out.append("edge")
+            if line[0].islower() and not beside:
+                out.append("lower")
+            if line.isupper() and not self.upper and sum(map(str.isalpha, line)) >= 6:
+                out.append("upper")
+            last = line.rsplit(" ", 1)[-1]
+            if " " in line and last[:1].isupper() and not line.isupper():
+                out.append("name")
+            if line[-1] in STOPS:
+                out.append("stop")
+            if INSIDE.search(line):
+                out.append("inside")
+            if COMMA.search(line):
+                out.append("comma")
+            if len(line) < 0.7 * self.width:
+                out.append("short")
+            elif len(line) >= 0.9 * self.width:
+                out.append("long")
+            if len(line) >= 0.97 * self.width and len(self.lines) > 2:
+                out.append("full")
+        return [PLACE[name] for name in out]
 
     def _decode(self) -> list[int]:
-        if max(self.head, default=0.0) < DOUBT and not any(self.number):
-            last = len(self.lines) - 1
-            return [BROKEN if i < last and x[-1] in BREAKS and BROKEN_END.search(x) else BODY for i, x in enumerate(self.lines)]
-        best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] * 4
-        for i, line in enumerate(self.lines):
-            emit = [0.0, 3.0 if BROKEN_END.search(line) and i + 1 < len(self.lines) else -9.0, self.head[i] - SURE, 6.0 if self.number[i] else -9.0]
-            now = []
-            for label in range(4):
-                options = []
-                for score, path in best:
-                    bonus = NEXT_TO if path and {path[-1], label} == {HEAD, NUMBER} else -1.0 if path and path[-1] == HEAD == label else 0.0
-                    options.append((score + bonus, path))
-                score, path = max(options, key=lambda o: o[0])
-                now.append((score + emit[label], (*path, label)))
-            best = now
+        if max(self.odds, default=DOUBT) < DOUBT and not any(self.number):
+            return [BROKEN if x else BODY for x in self.broken]
+        steps = self.chain.steps
+        best = [(s, (label,)) for label, s in enumerate(self.scores[0])]
+        for scores in self.scores[1:]:
+            best = [max(((v + steps[path[-1]][label] + scores[label], (*path, label)) for v, path in best), key=lambda o: o[0]) for label in range(4)]
         return list(max(best, key=lambda o: o[0])[1])
 
     def result(self) -> tuple[set[str], list[tuple[str, bool]], str]:
@@ -392,8 +491,8 @@ class Lines:
             if label == NUMBER:
                 kinds.add("page_number")
                 continue
-            small = -WEIGHT["lower"] if line[0].islower() else 0.0
-            if label == HEAD or self.head[i] + small >= DOUBT - near:
+            small = -self.chain.lower if line[0].islower() else 0.0
+            if label == HEAD or self.odds[i] + small >= DOUBT - NEAR * near:
                 heads.append((norm_title(line), label == HEAD))
                 if label == HEAD:
                     if _beside(line):
@@ -417,13 +516,13 @@ class Lines:
         return kinds, heads, "".join(parts)
 
 
-def examine(text: str, words: Words) -> tuple[set[str], list[tuple[str, bool]], str]:
+def examine(text: str, words: Words, chain: Chain = DEFAULT) -> tuple[set[str], list[tuple[str, bool]], str]:
     """(kinds of noise, header lines in doubt or sure, repaired text) of one text."""
     kinds: set[str] = set()
     heads: list[tuple[str, bool]] = []
     if "\n" in text and content_class(text) is None:
-        kinds, heads, text = Lines(text, words).result()
-    elif len(text) > 200 and " " not in text and text.isascii():
+        kinds, heads, text = Lines(text, words, chain).result()
+    elif " " not in text and is_unreadable(text):
         return kinds, heads, text
     text, odd = words.fix_han(text)
     if not text.isascii():
@@ -451,13 +550,13 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 plain = ACROSS.sub(" ", text) if "\n" in text else text
-                words.update(WORD.findall(plain))
+                words.update(words_of(plain))
                 if not text.isascii() and HAN_CHAR.search(text):
                     around.update(HAN_AROUND.findall("^" + plain.replace("\n", "") + "^"))
             out: Counter = Counter()
             for w, n in words.items():
                 for part in {w, *re.split(r"[-'’‐‑]", w)} if not w.isalnum() else (w,):
-                    if part and len(part) <= 40:
+                    if part:
                         low = part if not part.isupper() or len(part) == 1 else part.lower()
                         out[low[0].lower() + low[1:]] += n
             for w, n in out.items():
@@ -485,10 +584,10 @@ ASKED = T.StructType(FACT.fields[:2])
 ASKED_BY = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), *ASKED.fields])
 TARGET = T.StructType([T.StructField("alike", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 USED = T.StructType([T.StructField("key", T.StringType()), T.StructField("use", T.StringType()), T.StructField("role", T.StringType())])
-RATED = T.StructType([T.StructField("key", T.StringType()), T.StructField("form", T.StringType()), T.StructField("own", T.LongType()), T.StructField("alike", T.StringType())])
+RATED = T.StructType([T.StructField("form", T.StringType()), T.StructField("own", T.LongType()), T.StructField("alike", T.StringType())])
 
 
-def _hyphens_asked(texts: DataFrame) -> DataFrame:
+def _hyphens_asked(texts: DataFrame, chain: Chain) -> DataFrame:
     """kind, key of the broken words of ``texts``."""
     broken = texts.filter(F.col("text").rlike(rf"[{BREAKS}][ \t]*\n"))
 
@@ -498,7 +597,7 @@ def _hyphens_asked(texts: DataFrame) -> DataFrame:
         def work(values: list) -> Iterator[tuple]:
             for text in values:
                 if content_class(text) is None:
-                    Lines(text, asking).result()
+                    Lines(text, asking, chain).result()
             yield from asking.asked
             asking.asked = set()
 
@@ -507,27 +606,24 @@ def _hyphens_asked(texts: DataFrame) -> DataFrame:
     return map_rows(broken.select("text"), make, ASKED).distinct()
 
 
-def _asked(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], by_text: bool = False) -> DataFrame:
-    """kind, key (``by_text``: after rec_id, field) of what the texts ask for; broken words are joined as the facts have it."""
+def _asked(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], chain: Chain) -> DataFrame:
+    """rec_id, field, kind, key of what each text asks for; broken words are joined as the facts have it."""
     spread = texts.sparkSession.sparkContext.broadcast((shared, chars))
 
     def make():
-        asking = Asking(*spread.value, again=by_text)
+        asking = Asking(*spread.value)
 
         def work(ids: list, fields: list, values: list, facts: list) -> Iterator[tuple]:
             for i, field, text, own in zip(ids, fields, values, facts, strict=True):
                 if text:
                     asking.facts = _with_own(spread.value[0], own)
-                    examine(text, asking)
-                if by_text:
+                    examine(text, asking, chain)
                     yield from ((i, field, *x) for x in asking.asked)
                     asking.asked = set()
-            yield from asking.asked
-            asking.asked = set()
 
         return work
 
-    return map_rows(texts.select("rec_id", "field", "text", "facts"), make, ASKED_BY if by_text else ASKED).distinct()
+    return map_rows(texts.select("rec_id", "field", "text", "facts"), make, ASKED_BY).distinct()
 
 
 def _with_own(shared: dict[tuple[str, str], str], own: list[dict] | None) -> dict[tuple[str, str], str]:
@@ -565,18 +661,22 @@ def hyphen_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
     return rated.filter(own).select(F.lit("y").alias("kind"), "key", F.lit("own").alias("answer"))
 
 
-def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """kind, key, answer of the misread tokens: they meet the frequent words by what words taken for each other share."""
+def word_facts(words: DataFrame, joined: DataFrame) -> DataFrame:
+    """kind, key, answer of the misread forms: all words, and the ``joined`` broken ones (key), meet the frequent words by
+    what words taken for each other share."""
     top = words.agg(F.max("n")).first()[0] or 0
-    own = _uses(asked, words, lambda key: [("own", w) for w in {_lower_form(key), _lower_form(key).lower(), key}])
-    rare = own.groupBy("key").agg(F.coalesce(F.max("n"), F.lit(0)).alias("own")).filter(F.col("own") * RATIO <= top)
+    new = joined.select("key").distinct().join(words, "key", "left_anti").select("key", F.lit(0).cast("bigint").alias("n"))
+    known = words.unionByName(new).withColumn("low", F.lower("key"))
+    small = known.filter("low <> key").join(words.select(F.col("key").alias("low"), F.col("n").alias("m")), "low", "left")
+    own = known.filter("low = key").select("key", F.col("n").alias("own")).unionByName(small.select("key", F.greatest("n", F.coalesce("m", F.lit(0))).alias("own")))
+    rare = own.filter(F.col("own") * RATIO <= top)
 
     def make_asked():
         def work(keys: list, owns: list) -> Iterator[tuple]:
-            for key, n in zip(keys, owns, strict=True):
-                form = _lower_form(key)
-                for alike in _alike_keys(form):
-                    yield key, form, n, alike
+            for form, n in zip(keys, owns, strict=True):
+                if _can_be_misread(form):
+                    for alike in _alike_keys(form):
+                        yield form, n, alike
 
         return work
 
@@ -589,10 +689,10 @@ def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
         return work
 
     def make_judged():
-        def work(keys: list, forms: list, found: list, ns: list) -> Iterator[tuple]:
-            for key, form, word, n in zip(keys, forms, found, ns, strict=True):
+        def work(forms: list, found: list, ns: list) -> Iterator[tuple]:
+            for form, word, n in zip(forms, found, ns, strict=True):
                 if _misreadings(form, word) <= min(3, max(1, len(word) // 3)):
-                    yield key, word, n
+                    yield form, word, n
 
         return work
 
@@ -600,17 +700,20 @@ def word_facts(asked: DataFrame, words: DataFrame) -> DataFrame:
     asking = map_rows(rare, make_asked, RATED)
     long = (F.length("form") > 3) | F.col("form").rlike("[0-9]")
     least = F.greatest(F.lit(1), F.col("own")) * F.when(long, RATIO).otherwise(RATIO_SHORT)
-    met = asking.join(targets, "alike").filter((F.col("n") >= least) & (F.col("word") != F.col("form"))).select("key", "form", "word", "n")
+    met = asking.join(targets, "alike").filter((F.col("n") >= least) & (F.col("word") != F.col("form"))).select("form", "word", "n")
     judged = map_rows(met, make_judged, T.StructType([FACT.fields[1], *TARGET.fields[1:]]))
-    best = judged.groupBy("key").agg(F.max(F.struct("n", "word"))["word"].alias("word"))
-    first = F.substring("key", 1, 1)
-    capital = (F.lower(first) != first) & (F.upper(first) == first)
-    answer = F.when(capital, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
-    return best.select(F.lit("t").alias("kind"), "key", answer.alias("answer"))
+    best = judged.groupBy("key").agg(F.max(F.struct("n", "word"))["word"].alias("answer"))
+    return best.select(F.lit("t").alias("kind"), "key", "answer")
+
 
+def han_facts(around: DataFrame, alone: DataFrame, chars: dict[str, int]) -> DataFrame:
+    """kind, key, answer of the misread Han characters, keys being the character between its neighbours.
 
-def han_facts(asked: DataFrame, around: DataFrame, chars: dict[str, int]) -> DataFrame:
-    """kind, key, answer of the misread Han characters, keys being the character between its neighbours."""
+    ``around`` has all characters by their neighbours, ``alone`` their own counts.
+    """
+    most = max(chars.values(), default=0)
+    rare = alone.filter(F.col("n") * RATIO * 2 < most).select(F.col("key").alias("mid"))
+    asked = around.filter(~F.col("key").contains("\0")).join(rare, "mid", "left_semi").select(F.concat(F.substring("key", 1, 1), "mid", F.substring("key", 2, 1)).alias("key"))
     tops = around.groupBy("key").agg(F.max(F.struct("n", "mid")).alias("t")).filter(F.col("t.n") >= LEAST).select("key", F.col("t.n").alias("n"), F.col("t.mid").alias("mid"))
     uses = F.expr("array(struct(0 AS pos, concat(substring(key, 1, 1), substring(key, 3, 1)) AS use), struct(1 AS pos, concat(substring(key, 1, 1), char(0)) AS use), struct(2 AS pos, concat(char(0), substring(key, 3, 1)) AS use))")
     used = asked.select("key", F.explode(uses).alias("u")).select("key", "u.pos", F.col("u.use").alias("use"))
@@ -629,11 +732,11 @@ def han_facts(asked: DataFrame, around: DataFrame, chars: dict[str, int]) -> Dat
     return map_rows(met, make, FACT)
 
 
-def _given(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], facts: DataFrame, max_facts: int) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+def _given(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str, int], facts: DataFrame, chain: Chain, max_facts: int) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """(texts, shared facts) with ``facts``: shared by all workers if they are few, else joined to the texts that ask for them."""
     if facts.limit(max_facts + 1).count() <= max_facts:
         return texts, {**shared, **{(r["kind"], r["key"]): r["answer"] for r in facts.toLocalIterator()}}
-    asked = _asked(texts, shared, chars, by_text=True)
+    asked = _asked(texts, shared, chars, chain)
     own = asked.join(facts, ["kind", "key"]).groupBy("rec_id", "field").agg(F.collect_list(F.struct("kind", "key", "answer")).alias("new"))
     own = own.select(F.col("rec_id").alias("of"), F.col("field").alias("of_field"), "new")
     met = texts.join(own, F.col("rec_id").eqNullSafe(F.col("of")) & F.col("field").eqNullSafe(F.col("of_field")), "left")
@@ -641,48 +744,82 @@ def _given(texts: DataFrame, shared: dict[tuple[str, str], str], chars: dict[str
     return met.withColumn("facts", F.when(F.col("new").isNull(), F.col("facts")).otherwise(F.concat(F.coalesce("facts", F.array().cast(FACTS)), F.coalesce("new", none)))).drop("of", "of_field", "new"), shared
 
 
-def judged(texts: DataFrame, max_facts: int = MAX_FACTS) -> tuple[DataFrame, Judged]:
+def judged(texts: DataFrame, chain: Chain = DEFAULT, max_facts: int = MAX_FACTS) -> tuple[DataFrame, Judged]:
     """(texts with their own facts, judge with the shared ones): what every word and Han character of ``texts`` stands for.
 
     Each is judged by the counts of all words and contexts, which it meets in equi-joins; only Han characters alone, at most
-    as many as there are, are collected.
+    as many as there are, are collected. Texts are read to be counted and, where they have broken words, to be laid out.
     """
     texts = texts.select("rec_id", "field", "paper_key", "text").withColumn("facts", F.lit(None).cast(FACTS))
     counts = checkpoint(corpus_counts(texts))
     words = counts.filter("kind = 'w'").select("key", "n")
-    chars = {r["key"]: r["n"] for r in counts.filter("kind = 'c'").select("key", "n").toLocalIterator()}
+    alone = counts.filter("kind = 'c'").select("key", "n")
+    chars = {r["key"]: r["n"] for r in alone.toLocalIterator()}
     shared: dict[tuple[str, str], str] = {}
-    hyphens = checkpoint(hyphen_facts(_hyphens_asked(texts), words))
-    texts, shared = _given(texts, shared, chars, hyphens, max_facts)
-    asked = checkpoint(_asked(texts, shared, chars))
-    found = word_facts(asked.filter("kind = 't'"), words).unionByName(han_facts(asked.filter("kind = 'm'"), counts.filter("kind = 'h'"), chars))
-    texts, shared = _given(texts, shared, chars, checkpoint(found), max_facts)
+    broken = checkpoint(_hyphens_asked(texts, chain))
+    texts, shared = _given(texts, shared, chars, checkpoint(hyphen_facts(broken, words)), chain, max_facts)
+    joined = broken.select(F.regexp_replace("key", "\t(?:soft)?\t", "").alias("key"))
+    found = word_facts(words, joined).unionByName(han_facts(counts.filter("kind = 'h'"), alone, chars))
+    texts, shared = _given(texts, shared, chars, checkpoint(found), chain, max_facts)
     return texts, Judged(shared, chars)
 
 
+LABELLED = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("paper_key", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("title", T.StringType())])
+
+
+def known_titles(titles: DataFrame) -> DataFrame:
+    """paper_key, t: the papers' running titles without numbers and case."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace("title", r"^[^\p{L}]+|[^\p{L}]+$", ""), r"\s+", " "))
+    return titles.select("paper_key", bare.alias("t")).filter("length(t) >= 8").distinct()
+
+
+def fitted(texts: DataFrame, titles: DataFrame) -> Chain:
+    """The line model of a corpus, fitted on at most ``SAMPLE`` texts of papers with known running titles.
+
+    A line is a header if it begins one of the paper's titles, a page number or broken if it is built so, else body. The
+    sample is taken by a hash of the keys; without such texts the prior holds.
+    """
+    known = known_titles(titles)
+    lines = texts.filter(F.col("text").contains("\n") & (F.length("text") <= SAMPLE_CHARS) & F.col("rec_id").isNotNull())
+    lines = lines.join(known.select("paper_key").distinct(), "paper_key", "left_semi")
+    sample = lines.orderBy(F.xxhash64("rec_id", "field"), "rec_id", "field").limit(SAMPLE).select("rec_id", "field", "paper_key", "text").collect()
+    laid = {(r["rec_id"], r["field"], r["paper_key"]): Lines(r["text"], Judged({}, {}), DEFAULT) for r in sample if content_class(r["text"]) is None}
+    rows = [(*key, i, norm_title(x)) for key, one in laid.items() for i, x in enumerate(one.lines)]
+    asked = texts.sparkSession.createDataFrame([r for r in rows if len(r[-1]) >= 8], LABELLED)
+    heads = asked.join(known, "paper_key").filter("startswith(t, title)").select("rec_id", "field", "paper_key", "line").distinct()
+    found = {tuple(r) for r in heads.collect()}
+    fit = []
+    for key, one in laid.items():
+        labels = [NUMBER if one.number[i] else HEAD if (*key[:2], key[2], i) in found else BROKEN if one.broken[i] else BODY for i in range(len(one.lines))]
+        fit.append((one.features, labels))
+    return Chain.fit(fit)
+
+
 NOISE = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("paper_key", T.StringType()), T.StructField("noise_kind", T.StringType()), T.StructField("title", T.StringType()), T.StructField("sure", T.BooleanType())])
 REPAIRED = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def _run(texts: DataFrame, words: Words | None, schema: T.StructType, rows) -> DataFrame:
+def _run(texts: DataFrame, titles: DataFrame | None, words: Words | None, schema: T.StructType, rows) -> DataFrame:
+    chain = DEFAULT if titles is None else fitted(texts, titles)
     if words is None:
-        texts, judge = judged(texts)
+        texts, judge = judged(texts, chain)
         given = (Judged, judge.facts, judge.chars)
     else:
         texts = texts.withColumn("facts", F.lit(None).cast(FACTS))
         given = (Words, words.counts, words.contexts, words.chars)
     spread = texts.sparkSession.sparkContext.broadcast(given)
+    of_run = uuid4().hex
 
     def make():
         kind, *values = spread.value
-        judge = kind(*values)
+        judge = once(("scans", of_run), lambda: kind(*values))
 
         def work(ids: list, fields: list, papers: list, values: list, facts: list) -> Iterator[tuple]:
             for i, field, paper, text, own in zip(ids, fields, papers, values, facts, strict=True):
                 if text and i is not None:
                     if own or kind is Judged:
                         judge.facts = _with_own(spread.value[1], own)
-                    yield from rows(i, field, paper, *examine(text, judge))
+                    yield from rows(i, field, paper, *examine(text, judge, chain))
 
         return work
 
@@ -703,21 +840,22 @@ def page_noise(texts: DataFrame, titles: DataFrame, words: Words | None = None)
         for title, sure in heads:
             yield i, field, paper, "running_head", title, sure
 
-    found = checkpoint(_run(texts, words, NOISE, rows))
+    found = checkpoint(_run(texts, titles, words, NOISE, rows))
     sure = found.filter("sure").select("rec_id", "field", "noise_kind")
     doubt = found.filter("NOT sure AND length(title) >= 4").select("rec_id", "field", "paper_key", "title", "noise_kind")
-    bare = F.lower(F.regexp_replace(F.regexp_replace("title", r"^[^\p{L}]+|[^\p{L}]+$", ""), r"\s+", " "))
-    known = titles.select("paper_key", bare.alias("t")).filter("length(t) >= 8").distinct()
-    prefixes = known.select("paper_key", F.explode(F.expr("transform(sequence(4, length(t)), n -> substring(t, 1, n))")).alias("title")).distinct()
+    prefixes = known_titles(titles).select("paper_key", F.explode(F.expr("transform(sequence(4, length(t)), n -> substring(t, 1, n))")).alias("title")).distinct()
     settled = doubt.join(prefixes, ["paper_key", "title"], "left_semi")
     often = doubt.filter("length(title) >= 8").groupBy("paper_key", "title").agg(F.count_distinct("rec_id").alias("k")).filter("k > 1")
     again = doubt.join(often, ["paper_key", "title"], "left_semi")
     return sure.unionByName(settled.select(*sure.columns)).unionByName(again.select(*sure.columns)).distinct()
 
 
-def repaired(texts: DataFrame, words: Words | None = None) -> DataFrame:
-    """rec_id, field, text: every text in continuous form; null texts and ids are left out, blank ones stay as they are."""
-    return _run(texts, words, REPAIRED, lambda i, field, paper, kinds, heads, fixed: [(i, field, fixed)])
+def repaired(texts: DataFrame, words: Words | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """rec_id, field, text: every text in continuous form; null texts and ids are left out, blank ones stay as they are.
+
+    ``titles`` (paper_key, title): running titles on which the line model is fitted.
+    """
+    return _run(texts, titles, words, REPAIRED, lambda i, field, paper, kinds, heads, fixed: [(i, field, fixed)])
 
 
 def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -728,13 +866,17 @@ def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.col("block_id").cast("bigint").alias("rec_id"), "paper_key", F.explode(fields).alias("f")).select("rec_id", "f.field", "paper_key", "f.text").filter("text IS NOT NULL")
 
 
+def running_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_key, title of the running heads that the extractor knew as such."""
+    return table(spark, sf_dir, "blocks").filter("kind = 'running_heads'").select("paper_key", F.col("text_plain").alias("title"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "blocks").filter("kind = 'running_heads'").select("paper_key", F.col("text_plain").alias("title"))
-    return page_noise(scanned_texts(spark, sf_dir), titles).withColumnRenamed("rec_id", "block_id")
+    return page_noise(scanned_texts(spark, sf_dir), running_titles(spark, sf_dir)).withColumnRenamed("rec_id", "block_id")
 
 
 def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repaired(scanned_texts(spark, sf_dir)).withColumnRenamed("rec_id", "block_id")
+    return repaired(scanned_texts(spark, sf_dir), titles=running_titles(spark, sf_dir)).withColumnRenamed("rec_id", "block_id")
 
 
 QUERIES = {"p4_found": p4_found, "p4_text": p4_text}

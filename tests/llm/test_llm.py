@@ -369,7 +369,7 @@ def test_words_judged_by_all_counts(spark, monkeypatch):
     titles = spark.createDataFrame([], "paper_key string, title string")
     want = {(1, "ocr_char"), (5, "hyphen"), (7, "ocr_char"), (8, "ocr_char")}
     for most in (scans.MAX_FACTS, 0):
-        monkeypatch.setattr(scans.judged, "__defaults__", (most,))
+        monkeypatch.setattr(scans.judged, "__defaults__", (scans.DEFAULT, most))
         assert {(r.rec_id, r.noise_kind) for r in scans.page_noise(df, titles).collect() if r.noise_kind != "running_head"} == want
         fixed = {r.rec_id: r.text for r in scans.repaired(df).collect()}
         assert (fixed[1], fixed[3], fixed[5], fixed[7]) == ("vehicle", "the re-use of it", "the unknown one", "平均句长")
@@ -388,6 +388,44 @@ def test_judged_like_the_whole_dictionary(spark):
     assert {tuple(r) for r in scans.repaired(texts).collect()} == want
 
 
+def test_line_model_by_brute_force():
+    """Label shares and pair counts of the chain against a sum over all labellings; a fit without texts is the prior."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    scores, after = rng.normal(size=(3, 4, 4)), rng.normal(size=(4, 4))
+    there = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool)
+    unary, pairs = scans._expected(scores, after, there)
+    want_unary, want_pairs = np.zeros_like(scores), np.zeros((4, 4))
+    for t in range(3):
+        n = int(there[t].sum())
+        weight = {y: np.exp(sum(scores[t, i, y[i]] for i in range(n)) + sum(after[y[i - 1], y[i]] for i in range(1, n))) for y in itertools.product(range(4), repeat=n)}
+        for y, w in weight.items():
+            for i in range(n):
+                want_unary[t, i, y[i]] += w / sum(weight.values())
+            for i in range(1, n):
+                want_pairs[y[i - 1], y[i]] += w / sum(weight.values())
+    assert np.allclose(unary, want_unary) and np.allclose(pairs, want_pairs)
+    assert np.array_equal(scans.Chain.fit([]).emit, scans.DEFAULT.emit)
+
+
+def test_line_model_is_fitted_and_finds_held_out_headers(spark):
+    texts, titles = scans.scanned_texts(spark, "/root/testdata/sf0.1"), scans.running_titles(spark, "/root/testdata/sf0.1")
+    chain = scans.fitted(texts.filter("rec_id % 2 = 0"), titles)
+    assert abs(chain.emit - scans.DEFAULT.emit).max() > 0.1
+    rows = texts.filter("text LIKE '%\n%' AND field = 'text_plain' AND rec_id % 2 = 1").join(scans.known_titles(titles).groupBy("paper_key").agg({"t": "collect_set"}).toDF("paper_key", "known"), "paper_key").collect()
+    found = true = right = 0
+    for r in rows:
+        if quality.content_class(r.text) is None:
+            one = scans.Lines(r.text, scans.Judged({}, {}), chain)
+            for line, label in zip(one.lines, one.labels, strict=True):
+                known = len(scans.norm_title(line)) >= 8 and any(t.startswith(scans.norm_title(line)) for t in r.known)
+                found, true, right = found + (label == scans.HEAD), true + known, right + (known and label == scans.HEAD)
+    assert true > 10 and right / true > 0.85 and right / found > 0.6
+
+
 # ---- languages
 
 TEXTS = {
