@@ -151,6 +151,10 @@ def ending(text: str, codes: Codes) -> tuple[str, bool, int, str | None, bool, l
     marked = sign is not None
     if bare[-1] == "�":
         return "broken", marked, length, None, False, []
+    figure = DIGIT_STOP.search(bare) is not None
+    if not marked and not figure and ENDED.search(bare):
+        # a list or table that ends so is whole too
+        return "ended", False, length, None, False, []
     kind = content_class(body)
     last_line = bare[bare.rfind("\n") + 1 :].strip()
     if kind is not None:
@@ -161,7 +165,6 @@ def ending(text: str, codes: Codes) -> tuple[str, bool, int, str | None, bool, l
         return "broken", marked, length, None, False, []
     if STRUCTURE.match(last_line) or last_line.endswith("```"):
         return "closed", marked, length, *_last_word(bare), []
-    figure = DIGIT_STOP.search(bare) is not None
     if ENDED.search(bare) and not figure:
         return "ended", marked, length, None, False, []
     tail = bare.rstrip(".,") if figure else bare
