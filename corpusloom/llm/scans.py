@@ -782,7 +782,10 @@ def fitted(texts: DataFrame, titles: DataFrame) -> Chain:
     known = known_titles(titles)
     lines = texts.filter(F.col("text").contains("\n") & (F.length("text") <= SAMPLE_CHARS) & F.col("rec_id").isNotNull())
     lines = lines.join(known.select("paper_key").distinct(), "paper_key", "left_semi")
-    sample = lines.orderBy(F.xxhash64("rec_id", "field"), "rec_id", "field").limit(SAMPLE).select("rec_id", "field", "paper_key", "text").collect()
+    # so few rows pass the hash that no partition sends many to be ordered
+    share = 2 * SAMPLE / max(1, lines.count())
+    spread = F.pmod(F.xxhash64("rec_id", "field"), F.lit(1 << 30))
+    sample = lines.filter(spread < int(min(1.0, share) * (1 << 30))).orderBy(spread, "rec_id", "field").limit(SAMPLE).select("rec_id", "field", "paper_key", "text").collect()
     laid = {(r["rec_id"], r["field"], r["paper_key"]): Lines(r["text"], Judged({}, {}), DEFAULT) for r in sample if content_class(r["text"]) is None}
     rows = [(*key, i, norm_title(x)) for key, one in laid.items() for i, x in enumerate(one.lines)]
     asked = texts.sparkSession.createDataFrame([r for r in rows if len(r[-1]) >= 8], LABELLED)
