@@ -1,8 +1,8 @@
 """Statistics of a text's quality, and the texts that are lists, tables or junk instead of running prose.
 
-One pass over a text gives word, line, paragraph and repetition statistics; combined rules on them name the class. The
-rules look at how the text is built (rows of cells, short items, repeated or unreadable signs), never at its topic, so
-readable but unusual prose (capitals throughout, figures in brackets, hard line breaks) stays prose.
+One pass over a text gives word, line, paragraph and repetition statistics (``Measured``); combined rules on them name the
+class. The rules look at how the text is built (rows of cells, short items, repeated or unreadable signs), never at its
+topic, so readable but unusual prose (capitals throughout, figures in brackets, hard line breaks) stays prose.
 """
 
 from __future__ import annotations
@@ -56,6 +56,13 @@ CAPS = re.compile(r"(?<=[^\W\d_])[A-Z](?=[a-z]|\d)|\d[A-Za-z]|[A-Za-z]\d")
 SPLIT_LINES = re.compile(r"\r\n|\r|\n")
 ROW_BREAK = re.compile(r"\s*\\\\\s*|\|\s{2,}\|")
 
+#: Greater shares of common words are running text; below the least one no words are made.
+MOST_COMMON, NO_WORDS = 0.6, 0.1
+#: Mean words of a line in an enumeration, at most.
+LONG_ITEM = 12
+#: So few different words in so many are no text.
+FEW, FEW_OF = 6, 24
+
 STATS = ("n_chars", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "n_lines", "end_punct_share", "common_share", "stops_per_word", "dup_line_share", "dup_para_share", "top_ngram_coverage", "distinct_word_share", "mean_line_words")
 
 
@@ -140,38 +147,83 @@ def _coverage(units: list[str], spaceless: int) -> float:
     return _ngram_coverage(units) if 2 * spaceless <= len(units) else max(_ngram_coverage(units, PHRASE), _phrase_coverage(units))
 
 
+class Measured:
+    """A text with its statistics, each computed when it is asked for first; rules and tables of statistics share them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [x for x in map(str.strip, SPLIT_LINES.split(text)) if x]
+        self._known: dict[str, object] = {}
+
+    def __getattr__(self, name: str):
+        known = self.__dict__["_known"]
+        if name not in known:
+            known[name] = getattr(Measured, f"_{name}")(self)
+        return known[name]
+
+    def _words(self) -> list[str]:
+        return self.text.split()
+
+    def _spaceless(self) -> int:
+        return 0 if self.text.isascii() else len(SPACELESS.findall(self.text))
+
+    def _units(self) -> tuple[list[str], int]:
+        return _repeat_units(self.text)
+
+    def _paragraphs(self) -> list[str]:
+        return [p.strip() for p in self.text.split("\n\n") if p.strip()] if "\n\n" in self.text else [self.text]
+
+    def _letters(self) -> int:
+        return sum(map(len, WORD.findall(self.text)))
+
+    def _n_chars(self) -> int:
+        return len(self.text)
+
+    def _n_words(self) -> int:
+        return len(self.words) + self.spaceless // 2
+
+    def _mean_word_len(self) -> float:
+        return sum(map(len, self.words)) / len(self.words) if self.words else 0.0
+
+    def _symbol_ratio(self) -> float:
+        return len(ODD.findall(self.text)) / len(self.text) if self.text else 0.0
+
+    def _digit_ratio(self) -> float:
+        return sum(map(self.text.count, "0123456789")) / len(self.text) if self.text else 0.0
+
+    def _n_lines(self) -> int:
+        return len(self.lines)
+
+    def _end_punct_share(self) -> float:
+        return sum(END.search(x) is not None for x in self.lines) / len(self.lines) if self.lines else 0.0
+
+    def _common_share(self) -> float:
+        return sum(w.strip(".,;:!?()\"'«»“”„").lower() in COMMON for w in self.words) / len(self.words) if self.words else 0.0
+
+    def _stops_per_word(self) -> float:
+        return len(STOP.findall(self.text)) / max(1, self.n_words)
+
+    def _dup_line_share(self) -> float:
+        return _dup_share(self.lines)
+
+    def _dup_para_share(self) -> float:
+        return _dup_share(self.paragraphs)
+
+    def _top_ngram_coverage(self) -> float:
+        return _coverage(*self.units)
+
+    def _distinct_word_share(self) -> float:
+        units = self.units[0]
+        return len(set(units)) / len(units) if units else 0.0
+
+    def _mean_line_words(self) -> float:
+        return max(1, self.n_words) / len(self.lines) if self.lines else 0.0
+
+
 def stats(text: str) -> dict[str, float]:
     """All statistics of a text; an empty text has zeros."""
-    n = len(text)
-    lines = [x for x in map(str.strip, SPLIT_LINES.split(text)) if x]
-    spaceless = len(SPACELESS.findall(text))
-    words = text.split()
-    low = [w.strip(".,;:!?()\"'«»“”„").lower() for w in words]
-    units, characters = _repeat_units(text)
-    tokens = max(1, len(words) + spaceless // 2)
-    paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()] if "\n\n" in text else [text]
-    return dict(
-        zip(
-            STATS,
-            (
-                n,
-                len(words) + spaceless // 2,
-                sum(map(len, words)) / len(words) if words else 0.0,
-                len(ODD.findall(text)) / n if n else 0.0,
-                sum(map(text.count, "0123456789")) / n if n else 0.0,
-                len(lines),
-                sum(END.search(x) is not None for x in lines) / len(lines) if lines else 0.0,
-                sum(w in COMMON for w in low) / len(low) if low else 0.0,
-                len(STOP.findall(text)) / tokens,
-                _dup_share(lines),
-                _dup_share(paragraphs),
-                _coverage(units, characters),
-                len(set(units)) / len(units) if units else 0.0,
-                tokens / len(lines) if lines else 0.0,
-            ),
-            strict=True,
-        )
-    )
+    m = Measured(text)
+    return {name: getattr(m, name) for name in STATS}
 
 
 def _units(text: str) -> int:
@@ -190,9 +242,9 @@ def _rows(text: str, lines: list[str]) -> list[str]:
     return lines
 
 
-def is_table(text: str, lines: list[str]) -> bool:
+def is_table(m: Measured) -> bool:
     """Rows of cells: two rows or more whose number of cells agrees and whose cells are short or figures."""
-    rows = _rows(text, lines)
+    rows = _rows(m.text, m.lines)
     if len(rows) < 2:
         return False
     for mark, cut in CELL_SEP:
@@ -210,35 +262,40 @@ def is_table(text: str, lines: list[str]) -> bool:
         stops = sum(c.endswith((".", "。")) and _units(c) > 3 for c in cells)
         if short < 0.8 * len(cells) or stops > 0.1 * len(cells):
             continue
-        if mark in "|\t&" or figures >= 0.3 * len(cells) or mark == "  " and width >= 3:
+        if (mark in "|\t&" or figures >= 0.3 * len(cells) or mark == "  " and width >= 3) and m.common_share <= MOST_COMMON:
             return True
     return False
 
 
-def is_list(lines: list[str]) -> bool:
+def is_list(m: Measured) -> bool:
     """An enumeration: three short items or more, marked or on lines of their own, that aren't sentences."""
-    if len(lines) < 3:
+    lines = m.lines
+    if m.n_lines < 3:
         return False
     led = sum(LEADER.search(x) is not None for x in lines)
     if led >= 0.6 * len(lines):
         return True
+    if m.mean_line_words > LONG_ITEM or m.common_share > MOST_COMMON:
+        return False
     marked = sum(MARKER.match(x) is not None for x in lines)
     bare = [MARKER.sub("", x, count=1) for x in lines]
     sizes = [_units(x) for x in bare]
     short = sum(n <= 9 for n in sizes)
-    sentences = sum(n > 5 and END.search(x) is not None and not x.endswith(("；", ";")) for n, x in zip(sizes, bare, strict=True))
     if marked >= 0.6 * len(lines):
+        sentences = sum(n > 5 and END.search(x) is not None and not x.endswith(("；", ";")) for n, x in zip(sizes, bare, strict=True))
         return short >= 0.7 * len(lines) and sentences <= 0.2 * len(lines)
-    ended = sum(END.search(x) is not None and not x.endswith(("；", ";")) for x in bare)
-    begins = sum(x[:1].isupper() or x[:1].isdigit() or CJK.match(x) is not None for x in bare)
     if any(INNER_STOP.search(x) for x in bare):
         return False
-    return short >= 0.9 * len(lines) and ended <= 0.1 * len(lines) and begins >= 0.8 * len(lines)
+    # a semicolon closes an item as well as a stop does a sentence
+    ended = m.end_punct_share * len(lines) - sum(x.endswith(("；", ";")) and END.search(x) is not None for x in lines)
+    begins = sum(x[:1].isupper() or x[:1].isdigit() or CJK.match(x) is not None for x in bare)
+    return short >= 0.9 * len(lines) and round(ended) <= 0.1 * len(lines) and begins >= 0.8 * len(lines)
 
 
-def is_unreadable(text: str) -> bool:
+def is_unreadable(text: str | Measured) -> bool:
     """Signs that say nothing: symbols, broken encodings, encoded bytes, empty markup, letters that make no words."""
-    n = len(text)
+    m = text if isinstance(text, Measured) else Measured(text)
+    text, n = m.text, m.n_chars
     if n <= 20:
         return False
     if not text.isascii() and len(C1.findall(text)) > 0.03 * n:
@@ -248,53 +305,52 @@ def is_unreadable(text: str) -> bool:
         return True
     if "<" in text and sum(map(len, TAG.findall(text))) > 0.6 * n:
         return True
-    letters = sum(map(len, WORD.findall(text)))
-    if n - letters > 0.5 * n and len(ODD.findall(text)) - sum(map(text.count, DIVIDERS)) > 0.2 * n:
+    if n - m.letters > 0.5 * n and m.symbol_ratio * n - sum(map(text.count, DIVIDERS)) > 0.2 * n:
         return True
-    if (found := LONG.search(text)) and len(found.group()) > 0.7 * n and len(CAPS.findall(text)) > n / 12:
+    if (found := LONG.search(text)) and len(found.group()) > 0.7 * n and m.mean_word_len > 5 and len(CAPS.findall(text)) > n / 12:
         return True
-    return text.isascii() and letters > 0.6 * n and text.count(" ") >= 3 and sum(map(text.lower().count, "aeiouy")) < 0.15 * letters
+    return text.isascii() and m.letters > 0.6 * n and m.n_words > 3 and m.common_share < NO_WORDS and m.digit_ratio < 0.2 and sum(map(text.lower().count, "aeiouy")) < 0.15 * m.letters
 
 
-def is_repetitive(text: str) -> bool:
-    """One word or phrase over and over: an n-gram over half of the characters; scripts without spaces by characters."""
-    if not text.isascii() and SPACELESS.search(text):
-        units, spaceless = _repeat_units(text)
-        if 2 * spaceless > len(units):
-            if _units(text) < 8 or not _may_dominate(units, None):
-                return False
-            return _phrase_coverage(units) > 0.5 or _may_dominate(units, PHRASE) and _ngram_coverage(units, PHRASE) > 0.5
-    words = text.lower().split()
-    return len(words) >= 8 and _may_dominate(words) and _ngram_coverage(words) > 0.5
+def is_repetitive(m: Measured) -> bool:
+    """One word or phrase over and over: an n-gram over half of the characters, or hardly any different words; scripts
+    without spaces by characters."""
+    if m.n_words < 8:
+        return False
+    units, spaceless = m.units
+    if 2 * spaceless > len(units):
+        if not _may_dominate(units, None):
+            return False
+    elif not _may_dominate(units):
+        return FEW_OF <= len(units) and len(units) * m.distinct_word_share <= FEW and m.stops_per_word < 0.5
+    return m.top_ngram_coverage > 0.5
 
 
-def is_boilerplate(text: str, lines: list[str]) -> bool:
+def is_boilerplate(m: Measured) -> bool:
     """Lines or paragraphs that mostly repeat earlier ones."""
-    if len(lines) < 4:
-        return False
-    paragraphs = [p.strip() for p in text.split("\n\n") if p.strip()]
-    return _dup_share(lines) > 0.6 or len(paragraphs) >= 4 and _dup_share(paragraphs) > 0.6
+    return m.n_lines >= 4 and (m.dup_line_share > 0.6 or len(m.paragraphs) >= 4 and m.dup_para_share > 0.6)
 
 
-def content_class(text: str | None) -> str | None:
-    """list, table or junk; None for prose and for null and blank texts."""
-    if text is None:
+def classed(m: Measured) -> str | None:
+    """list, table or junk by the statistics of a text; None for prose and for blank texts."""
+    if not m.lines:
         return None
-    text = text.strip()
-    if not text:
-        return None
-    lines = [x for x in map(str.strip, SPLIT_LINES.split(text)) if x]
-    if is_unreadable(text):
+    if is_unreadable(m):
         return "junk"
-    if is_table(text, lines):
+    if is_table(m):
         return "table"
-    if is_list(lines):
+    if is_list(m):
         return "list"
-    if is_repetitive(text) or is_boilerplate(text, lines):
+    if is_repetitive(m) or is_boilerplate(m):
         return "junk"
     return None
 
 
+def content_class(text: str | None) -> str | None:
+    """The class of a text without the blanks around it; None for null."""
+    return None if text is None else classed(Measured(text.strip()))
+
+
 FOUND = T.StructType([T.StructField("src", T.StringType()), T.StructField("rec_id", T.LongType()), T.StructField("content_class", T.StringType())])
 MEASURED = T.StructType([*FOUND.fields, *[T.StructField(n, T.DoubleType()) for n in STATS]])
 

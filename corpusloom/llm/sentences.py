@@ -1,9 +1,9 @@
 """Sentences of texts in spaced and spaceless scripts, as half-open spans of code points.
 
-Paragraphs (blank lines) are split first. In spaced scripts every run of terminators is judged for itself by plain rules,
-without scores or a search: from its left token (abbreviation, initial, figure, ordinal, file name), the quotation or
-bracket around it and the word to its right; in Chinese and Japanese from the closing marks and the particles that
-follow. Thai has no terminators: its runs are segmented by a lattice over a dictionary, and the gaps between words are
+Paragraphs (blank lines) are split first. The terminators of a paragraph form a lattice: each is an end of a sentence or
+none, scored by what speaks for and against it (``WEIGHTS``): its left token (abbreviation, initial, figure, ordinal, file
+name), the quotation or bracket around it, the word to its right, in Chinese and Japanese the particles that follow. The
+best path through the ends, whose edges are the sentences between them, gives the boundaries. Thai has no terminators: its runs are segmented by a lattice over a dictionary, and the gaps between words are
 classified by final and opening words. Which words open sentences, also small ones ("iMetric"), is counted over the
 whole corpus.
 """
@@ -63,9 +63,7 @@ PARTICLES = re.compile(r"(?:と|って|は|が|を|に|の|も|で|へ|や|と
 GOES_ON = "，、；：,;:)]）」』”%％"
 FIGURE = re.compile(r"[\d][\d.,]*")
 #: What stands before a capital letter that belongs to a small word ("vitamin C"), and before a unit.
-BEFORE_LETTER = re.compile(r"(?<![^\W_])[a-zà-ÿ]{3,}\s$")
-AFTER_FIGURE = re.compile(r"\d\s$")
-TOKEN_LEFT = re.compile(r"\S*$")
+BEFORE_LETTER = re.compile(r"(?<![^\W_])[a-zà-ÿ]{3,}$")
 WORD_RIGHT = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 THAI_RUN = re.compile(r"[฀-๿]+(?:[ 　]+[฀-๿]+)*")
 LEAD = re.compile(r"[ \t]*[(\[]?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)\]]+(?=\s)")
@@ -139,6 +137,70 @@ def pairs(text: str) -> list[tuple[int, int]]:
     return top
 
 
+#: Log odds of a sentence's end by cue; those of a terminator and of what follows add up.
+WEIGHTS = {
+    "nothing follows": 20.0,
+    "hard stop": 6.0,
+    "call": -1.0,
+    "point": -1.0,
+    "ellipsis": -1.0,
+    "opening": 3.0,
+    "known opening": 10.0,
+    "goes on": -20.0,
+    "inside": -20.0,
+    "particle": -12.0,
+    "ellipsis in spaceless": -6.0,
+    "glued": -8.0,
+    "no token": -8.0,
+    "leads a line": -12.0,
+    "ordinal": -8.0,
+    "initial": -8.0,
+    "letter of a word": 8.0,
+    "abbreviation": -8.0,
+    "unit": 8.0,
+}
+#: A sentence without a letter or figure.
+WORDLESS = -8.0
+WORDS_IN = re.compile(r"[^\W_]")
+
+
+def best_path(para: str, nodes: list[tuple[int, float]]) -> list[bool]:
+    """Which terminators (end, score) end a sentence: the best path through the lattice of ends.
+
+    An edge runs from one end to a later one and stands for the sentence between them; it costs ``WORDLESS`` if nothing
+    is said there. One pass: only ends without a word since need be compared one by one.
+    """
+    best: list[tuple[float, int]] = []
+    top: list[tuple[float, int]] = []
+    since_word = [(0.0, -1)]
+    start = 0
+    for b, score in nodes:
+        if WORDS_IN.search(para, start, b):
+            top = [max(top + since_word)]
+            since_word = []
+        value, back = max(top + [(v + WORDLESS, i) for v, i in since_word])
+        since_word.append((value + score, len(best)))
+        best.append((value + score, back))
+        start = b
+    ends = [False] * len(nodes)
+    _, at = max([(0.0, -1), *((v, i) for i, (v, _) in enumerate(best))])
+    while at >= 0:
+        ends[at] = True
+        at = best[at][1]
+    return ends
+
+
+def word_before(para: str, end: int) -> str:
+    """The word before ``end``, with one blank between them; empty if there's none."""
+    stop = end
+    while stop > 0 and para[stop - 1].isspace():
+        stop -= 1
+    at = stop
+    while at > 0 and not para[at - 1].isspace():
+        at -= 1
+    return para[at:stop]
+
+
 class Splitter:
     def __init__(self, openers: Openers | None = None):
         self.openers = openers or Openers()
@@ -163,33 +225,44 @@ class Splitter:
         return out
 
     def _cuts(self, para: str) -> list[int]:
+        """The cuts of a paragraph: the best path through the lattice of its terminators."""
         if not para.strip():
             return []
+        nodes = list(self._nodes(para))
+        cuts = [b for b, ends in zip((b for b, _ in nodes), best_path(para, nodes), strict=True) if ends]
+        if re.search("[฀-๿]", para):
+            cuts = sorted({*cuts, *self._thai_cuts(para)})
+        return cuts
+
+    def _nodes(self, para: str) -> Iterator[tuple[int, float]]:
+        """(end of the terminator with its closing marks, score of a sentence's end there) of every terminator."""
         closed = pairs(para)
-        cuts: list[int] = []
         german = GERMAN.search(para) is not None
-        k = 0
+        k = began = 0
         for m in RUN.finditer(para):
             a, b = m.span()
             while k < len(closed) and closed[k][1] < a:
                 k += 1
             inside = closed[k] if k < len(closed) and closed[k][0] < a < closed[k][1] else None
-            quoted = False
+            quoted = bracket = False
+            cues: list[str] = []
             if inside:
+                bracket = para[inside[0]] not in QUOTES
                 if para[b : inside[1]].strip(CLOSERS + " \n"):
+                    yield b, WEIGHTS["inside"]
                     continue
-                began = self._skip(para, cuts[-1] if cuts else 0)
-                bracket = para[inside[0]] not in QUOTES
-                if bracket and inside[0] > began and not LEAD_ALONE.fullmatch(para, began, inside[0]):
+                opened = self._skip(para, began)
+                if bracket and inside[0] > opened and not LEAD_ALONE.fullmatch(para, opened, inside[0]):
+                    yield b, WEIGHTS["inside"]
                     continue
                 b, quoted = inside[1] + 1, not bracket
             while b < len(para) and para[b] in CLOSERS and (para[b] not in "\"“‘'" or (b + 1 >= len(para) or para[b + 1].isspace())) and not any(o == b for o, _ in closed):
                 b += 1
-            if self._ends(para, m.group(), a, b, quoted, inside is not None, german):
-                cuts.append(b)
-        if re.search("[฀-๿]", para):
-            cuts = sorted({*cuts, *self._thai_cuts(para)})
-        return cuts
+            cues.extend(self._cues(para, m.group(), a, b, quoted, inside is not None, german))
+            score = sum(WEIGHTS[c] for c in cues)
+            if score > 0:
+                began = b
+            yield b, score
 
     @staticmethod
     def _skip(para: str, at: int) -> int:
@@ -207,77 +280,105 @@ class Splitter:
             return True
         return ch.isupper() or ch.isdigit() or not (ch.islower() or ch.isspace()) and ch.isalpha()
 
-    def _ends(self, para: str, run: str, a: int, b: int, quoted: bool, enclosed: bool, german: bool) -> bool:
+    def _cues(self, para: str, run: str, a: int, b: int, quoted: bool, enclosed: bool, german: bool) -> Iterator[str]:
+        """What speaks for and against a sentence's end at a terminator, as keys of ``WEIGHTS``."""
         at = self._skip(para, b)
         if at >= len(para):
-            return True
+            yield "nothing follows"
+            return
         after = para[at]
         blank = at > b
-        if after in GOES_ON and not (blank and after in "\"”"):
-            return False
         wide = re.match(f"[{SPACELESS}]", after) is not None
+        if after in GOES_ON and not (blank and after in "\"”"):
+            yield "goes on"
+        if self._starts_new(para, at):
+            yield "opening"
         if any(ch in HARD or ch == "．" for ch in run):
-            return not (quoted and PARTICLES.match(para, at) and not blank)
-        if set(run) <= {"…"} or (set(run) == {"."} and len(run) >= 2):
+            yield "hard stop"
+            if quoted and not blank and PARTICLES.match(para, at):
+                yield "particle"
+        elif set(run) <= {"…"} or (set(run) == {"."} and len(run) >= 2):
+            yield "ellipsis"
             if wide:
-                return para[max(0, a - 2) : a] == "等等" or para[at : at + 2] in self.openers.first
-            return (blank or run[0] == "…") and self._starts_new(para, at) and not after.isdigit()
-        if "!" in run or "?" in run:
-            return self._starts_new(para, at) and (blank or not after.isdigit())
-        return self._point_ends(para, a, b, at, blank, wide, enclosed, german)
+                yield "ellipsis in spaceless"
+                if para[max(0, a - 2) : a] == "等等" or para[at : at + 2] in self.openers.first:
+                    yield "known opening"
+            elif after.isdigit() or not (blank or run[0] == "…"):
+                yield "glued"
+        elif "!" in run or "?" in run:
+            yield "call"
+            if not blank and after.isdigit():
+                yield "glued"
+        else:
+            yield "point"
+            yield from self._point_cues(para, a, b, at, blank, wide, enclosed, german)
 
-    def _point_ends(self, para: str, a: int, b: int, at: int, blank: bool, wide: bool, enclosed: bool, german: bool) -> bool:
+    def _point_cues(self, para: str, a: int, b: int, at: int, blank: bool, wide: bool, enclosed: bool, german: bool) -> Iterator[str]:
         """A single point: by its left token and what follows."""
         after = para[at]
-        token = TOKEN_LEFT.search(para, max(0, a - 60), a).group().lstrip("([{\"'“„«‘‚（「『¿¡–—-")
+        left = a
+        while left > 0 and not para[left - 1].isspace():
+            left -= 1
+        token = para[left:a].lstrip("([{\"'“„«‘‚（「『¿¡–—-")
         if re.search(f"[{SPACELESS}]$", token):
-            return True
+            yield "hard stop"
+            return
         if not token:
-            return False
+            yield "no token"
+            return
         if blank and token[-1] in CLOSERS:
-            return self._starts_new(para, at)
+            return
         low = token.lower()
         if not blank:
-            if enclosed:
-                return self._starts_new(para, at)
-            if wide:
-                return len(token) > 2 and token[-1].isalpha()
-            if "/" in token or "@" in token or "://" in token:
-                return False
-            if not (after.isupper() or after in "¿¡\"“«„(" or (after.isalpha() and not after.islower() and not after.isupper())):
-                return False
-            if FIGURE.fullmatch(token):
-                return after.isupper() and para[at + 1 : at + 2].islower()
-            return len(token) > 2 and token[-1].isalpha() and token[-2:].islower() | (not token[-1].isupper() and not token[-1].islower()) and low not in NEVER and "." not in token and "_" not in token
+            yield from self._glued_cues(para, token, low, after, at, wide, enclosed)
+            return
+        word = WORD_RIGHT.match(para, at)
         if FIGURE.fullmatch(token):
             if self._leads_line(para, a - len(token), b):
-                return False
-            if after.islower():
-                return WORD_RIGHT.match(para, at) is not None and WORD_RIGHT.match(para, at).group() in self.openers.small
+                yield "leads a line"
             if len(token) <= 2 and MONTH.match(para, at):
-                return False
+                yield "ordinal"
             if german and len(token) <= 3 and token.isdigit():
-                before = re.search(r"(\S+)\s+\S*$", para[:a])
-                if before and before.group(1).lower() in BEFORE_ORDINAL:
-                    return False
-            return self._starts_new(para, at)
+                if word_before(para, left).lower() in BEFORE_ORDINAL:
+                    yield "ordinal"
+            return
         if len(token) == 1 and token.isalpha():
             if self._leads_line(para, a - 1, b):
-                return False
-            if token.isupper() and (word := WORD_RIGHT.match(para, at)) and word.group() in NO_NAME:
-                return BEFORE_LETTER.search(para[max(0, a - 40) : a - 1]) is not None
-            return not token.isupper() and low not in NEVER and low not in BEFORE_FIGURE and self._starts_new(para, at)
+                yield "leads a line"
+            if token.isupper():
+                yield "initial"
+                if word and word.group() in NO_NAME and BEFORE_LETTER.search(word_before(para, a - 1)):
+                    yield "letter of a word"
+            elif low in NEVER or low in BEFORE_FIGURE:
+                yield "abbreviation"
+            return
         if low in BEFORE_FIGURE and after.isdigit():
-            return False
-        if token in UNITS and AFTER_FIGURE.search(para[max(0, a - len(token) - 2) : a - len(token)]) and after.isupper():
-            return True
+            yield "abbreviation"
         if low in NEVER:
-            return False
-        if low in MAYBE:
-            return OWN_BRACKET.match(para, at) is not None if after == "(" else self._starts_new(para, at)
-        if "." in token and all(len(x) <= 2 for x in token.split(".")) and not FIGURE.match(token):
-            return after.isupper() and len(token) <= 3
-        return self._starts_new(para, at)
+            yield "abbreviation"
+            if token in UNITS and word_before(para, a - len(token))[-1:].isdigit() and after.isupper():
+                yield "unit"
+        elif low in MAYBE:
+            if after == "(" and not OWN_BRACKET.match(para, at):
+                yield "goes on"
+        elif "." in token and all(len(x) <= 2 for x in token.split(".")) and not FIGURE.match(token) and not (after.isupper() and len(token) <= 3):
+            yield "abbreviation"
+
+    def _glued_cues(self, para: str, token: str, low: str, after: str, at: int, wide: bool, enclosed: bool) -> Iterator[str]:
+        """A point without a blank after it: within a name, a figure, a link, or a blank was lost."""
+        if enclosed:
+            return
+        if wide:
+            yield "hard stop" if len(token) > 2 and token[-1].isalpha() else "glued"
+        elif "/" in token or "@" in token:
+            yield "glued"
+        elif not (after.isupper() or after in "¿¡\"“«„(" or (after.isalpha() and not after.islower() and not after.isupper())):
+            yield "glued"
+        elif FIGURE.fullmatch(token):
+            if not (after.isupper() and para[at + 1 : at + 2].islower()):
+                yield "glued"
+        elif not (len(token) > 2 and token[-1].isalpha() and token[-2:].islower() | (not token[-1].isupper() and not token[-1].islower()) and low not in NEVER and "." not in token and "_" not in token):
+            yield "glued"
 
     @staticmethod
     def _leads_line(para: str, start: int, end: int) -> bool:

@@ -274,6 +274,19 @@ def test_repetition_without_spaces():
     assert quality.content_class(TEXTS["zh"]) is None and s["top_ngram_coverage"] < 0.2 and 0.5 < s["distinct_word_share"] < 1
 
 
+def test_rules_and_statistics_agree(spark):
+    """p1_found names what p1_stats classes, and the rules read the statistics that p1_stats gives."""
+    found = {tuple(r) for r in quality.p1_found(spark, SMALL).collect()}
+    rows = quality.p1_stats(spark, SMALL).collect()
+    assert found == {(r.src, r.rec_id, r.content_class) for r in rows if r.content_class}
+    assert any(r.content_class is None and r.common_share > 0.2 for r in rows)
+    m = quality.Measured("the cat sat on the mat and " * 9)
+    assert quality.is_repetitive(m) and m.top_ngram_coverage > 0.5 and quality.stats(m.text)["top_ngram_coverage"] == m.top_ngram_coverage
+    shuffled = " ".join("abc dbe fgh".split()[(i * i // 3) % 3] for i in range(60))
+    assert quality.content_class(shuffled) == "junk"
+    assert quality.Measured("").mean_line_words == 0.0
+
+
 # ---- sentences
 
 SPLITS = [
@@ -308,6 +321,27 @@ def test_sentence_goldens():
         assert [text[a:b] for a, b in splitter.spans(text)] == want, text
 
 
+def test_best_path_by_brute_force():
+    """The path through the terminators against all choices of ends."""
+    import itertools
+
+    rng = random.Random(4)
+    for _ in range(300):
+        para = "".join(rng.choice("a. .") for _ in range(rng.randrange(1, 12)))
+        nodes = [(i + 1, rng.choice([-9.0, -1.5, 0.5, 2.5, 9.5])) for i, ch in enumerate(para) if ch == "."]
+
+        def value(ends, para=para, nodes=nodes):
+            total, at = 0.0, 0
+            for (b, score), end in zip(nodes, ends, strict=True):
+                if end:
+                    total += score + (0 if "a" in para[at:b] else sentences.WORDLESS)
+                    at = b
+            return total
+
+        got = sentences.best_path(para, nodes)
+        assert value(got) == max(value(e) for e in itertools.product([False, True], repeat=len(nodes)))
+
+
 def test_letters_and_units_end_sentences():
     for text in ("It is rich in vitamin C. The next one isn't.", "The gap was 5 mm. Then it closed.", "It took 20 sec. After that it ended."):
         assert len(sentences.Splitter().spans(text)) == 2, text
