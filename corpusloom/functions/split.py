@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Abbreviations after which a point ends nothing.
-ABBREVIATIONS = frozenset("e.g i.e et al etc vs fig figs eq eqs sec ref refs tab vol no pp approx ca dr mr mrs ms prof st jr inc ltd cf resp ed eds dept".split())
+ABBREVIATIONS = frozenset(
+    """al etc fig figs eq eqs vs cf cmp approx no nos sec secs ref refs i.e e.g u.s u.k e.u ph.d m.s b.s dr prof mr mrs ms st jr sr
+    inc ltd co corp dept univ vol vols pp p ch chap app appendix min max avg est resp ibid viz seq alii
+    jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun""".split()
+)
 CJK_STOPS = "。！？…"
-CLOSERS = "\"'”’)]」』】》）〉»"
+#: Closing marks between a stop and the blank after it, and those that a CJK sentence keeps.
+CLOSERS, CJK_CLOSERS = "\"')]}»”’", "」』】》）］＞〉"
 CLAUSE_MARKS = "，；：,;:"
 BLANKED = re.compile(r"(?im)^[ \t]*(?:keywords?|key[ \t]+words|关键词|关键字)[ \t]*[:：][^\n]*|\$\$[^$\n]*\$\$|\$[^$\n]*\$|</?(?:sub|sup)\b[^>]*>")
-NUMBERING = re.compile(r"(?:^|\n)[ \t]*[\[(]?\d{1,3}[\])]?\.$")
+NUMBERING = re.compile(r"\s*(?:\d{1,3}|\[\d{1,3}\]|\(\d{1,3}\))")
+INITIAL_BEFORE = re.compile(r"[ \t]+[A-Z][A-Za-z.]")
 CANDIDATE = re.compile(rf"[.!?]+|[{CJK_STOPS}]+")
+LETTER = re.compile("[A-Za-z㐀-䶿一-鿿豈-﫿]")
 BRACKETS = {"(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "「": "」", "『": "』", "“": "”"}
 
 SENTENCES = T.ArrayType(
@@ -28,56 +35,69 @@ def masked(text: str) -> str:
     return BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "$" in text or "<" in text or "key" in text.lower() or "关键" in text else text
 
 
-def _is_end(text: str, start: int, end: int) -> bool:
-    """Whether the stops at text[start:end] end a sentence.
+def _left_word(text: str, end: int) -> str:
+    """The word that ends at ``end``, with points between its parts kept ("i.e")."""
+    at = end
+    while at > 0 and text[at - 1].isascii() and (text[at - 1].isalpha() or text[at - 1] == "." and at < end and text[at - 2 : at - 1].isascii() and text[at - 2 : at - 1].isalpha()):
+        at -= 1
+    return text[at:end]
+
 
-    CJK stops always do. A point between digits, after an abbreviation, an initial or a line's number doesn't; otherwise
-    ASCII stops do before a blank whose next word isn't in lower case, at the end, and before CJK.
+def _point_holds(text: str, point: int, after: int) -> bool:
+    """Whether a point before a blank ends nothing: a line's number, an abbreviation, an initial, or a small letter follows.
+
+    What follows is looked for in the same line only: a line break lets the sentence end.
     """
-    stop = text[start:end]
-    if stop[0] in CJK_STOPS:
+    if NUMBERING.fullmatch(text, text.rfind("\n", 0, point) + 1, point):
         return True
-    nxt = text[end : end + 1]
-    if nxt and nxt in CLOSERS:
-        rest = text[end:].lstrip(CLOSERS)
-        nxt = rest[:1]
-    if not nxt:
+    word = _left_word(text, point)
+    if word.lower() in ABBREVIATIONS or (len(word) == 1 and word.isupper() and INITIAL_BEFORE.match(text, point + 1)):
         return True
-    if "㐀" <= nxt <= "鿿" and stop == ".":
-        return not (text[start - 1 : start].isascii() and text[start - 1 : start].isalnum())
-    if not nxt.isspace():
+    while after < len(text) and text[after] in " \t\f\v":
+        after += 1
+    return text[after : after + 1].islower()
+
+
+def _is_end(text: str, start: int, end: int) -> bool:
+    """Whether the stops at text[start:end] end a sentence.
+
+    CJK stops always do; ASCII stops do before a blank or the end, closing marks apart, unless a point holds on
+    (``_point_holds``). A half-width point among other signs than ASCII letters and figures is a CJK stop.
+    """
+    if text[start] in CJK_STOPS:
+        return text[end : end + 1] != "."
+    after = end
+    while after < len(text) and text[after] in CLOSERS:
+        after += 1
+    if after >= len(text) or text[after].isspace():
+        if text[end - 1] != "." or not _point_holds(text, end - 1, after):
+            return True
+    if text[end - 1] != ".":
         return False
-    if stop == ".":
-        if NUMBERING.search(text[max(0, start - 8) : end]) and (start < 5 or "\n" in text[max(0, start - 8) : start]):
-            return False
-        word = re.search(r"[A-Za-z.]*$", text[max(0, start - 12) : start]).group().lower()
-        if word in ABBREVIATIONS or (len(word) == 1 and text[start - 1].isupper()) or re.fullmatch(r"(?:[a-z]\.)+[a-z]", word):
-            return False
-    following = text[end : end + 40].lstrip(CLOSERS).lstrip()
-    return not following[:1].islower()
+    before, nxt = text[max(0, end - 2) : end - 1], text[end : end + 1]
+    plain = lambda ch: ch.isdigit() or ch.isascii() and ch.isalpha()
+    return not plain(before) and not plain(nxt) and not (nxt and nxt in CJK_STOPS)
 
 
 def split_sentences(text: str | None) -> list[tuple[int, int]]:
-    """Half-open spans without outer blanks; pieces without a letter or ideograph are dropped. Null and blank: none."""
+    """Half-open spans without outer blanks; pieces without an ASCII letter or ideograph are dropped. Null and blank: none."""
     if not text or not text.strip():
         return []
     probe = masked(text)
     spans, at = [], 0
     for m in [*CANDIDATE.finditer(probe), None]:
-        if m is None:
-            end = len(text)
-        elif _is_end(probe, m.start(), m.end()):
-            end = m.end()
-            while end < len(text) and text[end] in CLOSERS:
-                end += 1
-        else:
+        end = m.end() if m else len(text)
+        if m and not _is_end(probe, m.start(), end):
             continue
+        if m and probe[m.start()] in CJK_STOPS:
+            while end < len(text) and probe[end] in CJK_CLOSERS:
+                end += 1
         a, b = at, end
-        while a < b and text[a].isspace():
+        while a < b and probe[a].isspace():
             a += 1
-        while b > a and text[b - 1].isspace():
+        while b > a and probe[b - 1].isspace():
             b -= 1
-        if a < b and any(ch.isalpha() for ch in probe[a:b]):
+        if LETTER.search(probe, a, b):
             spans.append((a, b))
         at = end
     return spans

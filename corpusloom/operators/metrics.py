@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import split
@@ -31,6 +31,10 @@ NO_NOMINAL = ["section", "mention", "nation", "station", "version", "question",
 LONG_SENTENCE = {"en": 40, "zh": 80}
 
 
+#: A text is Chinese from this share of ideographs among ideographs and words.
+CHINESE_SHARE = 0.10
+
+
 def word_set(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
@@ -99,15 +103,21 @@ def sentence_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def sentence_metrics(sentences: DataFrame, language: str = "en") -> DataFrame:
-    """doc_id, n_sentences, mean_len, sd_len, long_share, passive_share, clauses_per_sentence, p90_len, p95_len (Q1)."""
-    size = F.col("n_units") if language == "zh" else F.col("n_tokens")
+def sentence_metrics(sentences: DataFrame) -> DataFrame:
+    """doc_id, n_sentences, mean_len, sd_len, long_share, passive_share, clauses_per_sentence, p90_len, p95_len (Q1).
+
+    The unit is the document's: units (ideographs and words) where it is Chinese by its own text, words elsewhere.
+    """
+    units, words = F.sum(F.col("n_units") - F.col("n_tokens")).over(Window.partitionBy("doc_id")), F.sum("n_tokens").over(Window.partitionBy("doc_id"))
+    zh = units > CHINESE_SHARE * (units + words)
+    sized = sentences.withColumn("zh", zh).withColumn("size", F.when(F.col("zh"), F.col("n_units")).otherwise(F.col("n_tokens")))
+    size = F.col("size")
     share = lambda c: F.avg(c.cast("double"))
-    return sentences.groupBy("doc_id").agg(
+    return sized.groupBy("doc_id").agg(
         F.count("*").alias("n_sentences"),
         F.avg(size.cast("double")).alias("mean_len"),
         F.stddev_pop(size.cast("double")).alias("sd_len"),
-        share(size >= LONG_SENTENCE[language]).alias("long_share"),
+        share(size >= F.when(F.col("zh"), LONG_SENTENCE["zh"]).otherwise(LONG_SENTENCE["en"])).alias("long_share"),
         share(F.col("passive")).alias("passive_share"),
         F.avg(F.col("n_clauses").cast("double")).alias("clauses_per_sentence"),
         share(F.col("n_clauses") > 1).alias("multi_clause_share"),

@@ -97,6 +97,11 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sentence_table(_docs(spark, sf_dir))
 
 
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its words and units."""
+    return sentence_rows(spark, sf_dir).select("doc_id", "sent_no", "text", "n_tokens", "n_units")
+
+
 def sentence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sentence_metrics(sentence_rows(spark, sf_dir))
 
@@ -197,7 +202,7 @@ def chinese_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (token_counts, language_rule, phrase_counts, token_metrics, doc_metrics, corpus_summary, corpus_summary_by_source, length_confounds, target_bands, band_validation, draft_outcomes, mtld_by_doc,
-              sentence_rows, sentence_metrics, sentence_length_by_lang, section_strata, abstract_divergence, lexicon_usage, cjk_ngrams, citation_style, citations, text_cleaning, paragraph_length, stance_of_sentences, chinese_clauses)
+              sentence_rows, sentence_spans, sentence_metrics, sentence_length_by_lang, section_strata, abstract_divergence, lexicon_usage, cjk_ngrams, citation_style, citations, text_cleaning, paragraph_length, stance_of_sentences, chinese_clauses)
 }
 
 M = metrics
@@ -295,3 +300,26 @@ _HITS = " UNION ALL ".join(
 )
 _ENTRIES = ", ".join("('" + n + "', '" + e + "')" for n, es in M.LEXICONS.items() for e in sorted(set(es)))
 SQL["lexicon_usage"] = f"WITH {_BASE}, h AS ({_HITS}), e(lexicon, entry) AS (VALUES {_ENTRIES}) SELECT lexicon, entry, count(doc_id) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM e LEFT JOIN h USING (lexicon, entry) GROUP BY 1, 2"
+
+_WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CLOSE = "[\"'')\\]}»”’]"
+_MASKED = r"(?im)^[ \t]*(?:keywords?|key[ \t]+words|关键词|关键字)[ \t]*[:：][^\n]*|\$\$[^$\n]*\$\$|\$[^$\n]*\$|</?(?:sub|sup)\b[^>]*>"
+_SENTENCES = rf"""m AS (SELECT doc_id, lang, text, list_reduce(list_prepend(text, regexp_extract_all(text, '{_MASKED}')), lambda a, x: replace(a, x, repeat(' ', length(x)))) AS t FROM documents WHERE text IS NOT NULL),
+ i AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM m WHERE regexp_matches(t, '[.!?。！？…]')),
+ c AS (SELECT doc_id, i, substr(t, i, 1) AS ch, CASE WHEN i > 1 THEN substr(t, i - 1, 1) ELSE '' END AS pv, substr(t, i + 1, 1) AS nx, CASE WHEN i > 1 THEN substr(t, 1, i - 1) ELSE '' END AS l, substr(t, i + 1) AS r FROM i WHERE substr(t, i, 1) IN ('.', '!', '?', '。', '！', '？', '…')),
+ w AS (SELECT *, regexp_extract(l, '[A-Za-z]+(?:\.[A-Za-z]+)*$') AS word, regexp_extract(r, '^{_CLOSE}*[ \t\f\v]*(.)', 1) AS f FROM c),
+ e AS (SELECT doc_id, i + CASE WHEN ch IN ('。', '！', '？', '…') THEN length(regexp_extract(r, '^[」』】》）］＞〉]*')) ELSE 0 END AS e FROM w WHERE CASE
+  WHEN ch IN ('。', '！', '？', '…') THEN nx NOT IN ('。', '！', '？', '…', '.')
+  WHEN ch IN ('!', '?') THEN regexp_matches(r, '^{_CLOSE}*(?:{_WS}|$)')
+  ELSE (regexp_matches(r, '^{_CLOSE}*(?:{_WS}|$)') AND NOT (regexp_matches(regexp_extract(l, '[^\n]*$'), '^{_WS}*(?:\d{{1,3}}|\[\d{{1,3}}\]|\(\d{{1,3}}\))$') OR lower(word) IN {sql_in(sorted(split.ABBREVIATIONS))}
+   OR (regexp_matches(word, '^[A-Z]$') AND regexp_matches(r, '^[ \t]+[A-Z][A-Za-z.]')) OR (f <> '' AND lower(f) = f AND upper(f) <> f)))
+   OR (NOT regexp_matches(pv, '[\p{{Nd}}A-Za-z]') AND NOT regexp_matches(nx, '[\p{{Nd}}A-Za-z]') AND nx NOT IN ('。', '！', '？', '…', '.', '!', '?')) END),
+ a AS (SELECT doc_id, e FROM e UNION SELECT doc_id, length(t) FROM m),
+ b AS (SELECT doc_id, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS s FROM a),
+ p AS (SELECT doc_id, s, lang, text, substr(t, s + 1, e - s) AS x FROM b JOIN m USING (doc_id)),
+ q AS (SELECT doc_id, lang, s + length(x) - length(regexp_replace(x, '^{_WS}+', '')) AS s, length(regexp_replace(regexp_replace(x, '^{_WS}+', ''), '{_WS}+$', '')) AS n, text FROM p WHERE regexp_matches(x, '[A-Za-z\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{f900}}-\x{{faff}}]')),
+ z AS (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS sent_no, substr(text, s + 1, n) AS text FROM q),
+ y AS (SELECT *, CAST({sql_count("text", W)} AS BIGINT) AS n_tokens, CAST({sql_count("text", W)} + {sql_count("text", CJK)} AS BIGINT) AS n_units FROM z)"""
+SQL["sentence_spans"] = f"WITH {_SENTENCES} SELECT doc_id, sent_no, text, n_tokens, n_units FROM y"
+SQL["sentence_length_by_lang"] = f"""WITH {_SENTENCES}, v AS (SELECT *, sum(n_units - n_tokens) OVER (PARTITION BY doc_id) > 0.1 * (sum(n_units) OVER (PARTITION BY doc_id)) AS zh FROM y),
+ u AS (SELECT doc_id, any_value(lang) AS lang, avg(CASE WHEN zh THEN n_units ELSE n_tokens END) AS mean_len, avg(CAST(CASE WHEN zh THEN n_units >= 80 ELSE n_tokens >= 40 END AS INT)) AS long_share FROM v GROUP BY 1) SELECT lang, count(*) AS n_docs, round(avg(mean_len), 6) AS mean_len, round(avg(long_share), 6) AS long_share FROM u GROUP BY 1"""

@@ -16,19 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scans under so many bytes a core are looked at for their number of splits.
-SMALL_SPLIT = 16 << 20
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table for work that costs much more than reading: a small scan with fewer splits than cores is spread over them.
-
-    Large tables are read as they are; whether one is small is known from its size in the catalog of files.
-    """
+    """The table for work that costs much more than reading: rows are spread where a scan has fewer splits than there are cores."""
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_SPLIT and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,13 +43,16 @@ def ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors can't undo it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    temporary one made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and everything runs on
+    this machine (local tests) is a temporary one made. On a cluster a missing setting is an error, since executors would
+    each write to a disk of their own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
     return df.checkpoint()
 

@@ -127,11 +127,16 @@ SENTENCES = [
     ("One. Two! Three?", ["One.", "Two!", "Three?"]),
     ("See e.g. Fig. 3 of Dr. Wu et al. for 3.14 points. Next.", ["See e.g. Fig. 3 of Dr. Wu et al. for 3.14 points.", "Next."]),
     ("A. B. Smith wrote it. Then J. left.", ["A. B. Smith wrote it.", "Then J. left."]),
-    ("[12]. It holds (see above). However, no.", ["[12]. It holds (see above).", "However, no."]),
-    ("他来了……走了！“好。”她说。", ["他来了……", "走了！", "“好。”", "她说。"]),
+    ("[12]. It holds (see above). However, no.", ["It holds (see above).", "However, no."]),
+    ("1. Opening\n2. Approach\nThis is it.", ["1. Opening\n2. Approach\nThis is it."]),
+    ("Really? yes it is. It was so. they left.", ["Really?", "yes it is.", "It was so. they left."]),
+    ("It was done.\nwhere K counts.\n[4] says so.\n12 runs.", ["It was done.", "where K counts.", "[4] says so.", "12 runs."]),
+    ("Call it X. 25 of them. Call it Y. [3] has it. Call it Z. Then no.", ["Call it X.", "25 of them.", "Call it Y.", "[3] has it.", "Call it Z. Then no."]),
+    ('She said "go." Then "no!" (He left.) End', ['She said "go.', '" Then "no!', '" (He left.', ") End"]),
+    ("他来了……走了！“好。”她说。", ["他来了……", "走了！", "“好。", "”她说。"]),
     ("误差为3.5，下降.结论成立。", ["误差为3.5，下降.", "结论成立。"]),
-    ("Keywords: a. b. c.\nReal text here.", ["Keywords: a. b. c.\nReal text here."]),
-    ("$a. B$ holds. Yes.", ["$a. B$ holds.", "Yes."]),
+    ("Keywords: a. b. c.\nReal text here.", ["Real text here."]),
+    ("$a. B$ holds. Yes.", ["holds.", "Yes."]),
     ("... ! ?", []),
     ("", []),
     (None, []),
