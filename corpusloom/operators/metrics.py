@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lexicons as lx
 from corpusloom.functions import split
 from corpusloom.functions import text as tx
 
-#: Small lexicons of our own; every function takes other lists.
+#: The lists of each metric; every function takes other lists. The academic words are a sample: give the whole list as a table.
 LEXICONS: dict[str, list[str]] = {
-    "M-HED-14": ["may", "might", "could", "perhaps", "possibly", "likely", "it is likely that", "suggests", "appears to", "seems to", "apparently", "presumably", "in general", "tends to", "let us assume that"],
-    "M-BOO-15": ["clearly", "obviously", "certainly", "indeed", "of course", "always", "never", "definitely", "there is little doubt that", "without doubt", "nobody has shown that", "more importantly"],
-    "M-CONN-30c": ["however", "but", "although", "whereas", "by contrast", "in contrast", "nevertheless", "even so", "on the other hand", "apart from this"],
-    "M-CONN-30k": ["because", "since", "due to", "owing to", "for this reason", "as"],
-    "M-CONN-30r": ["therefore", "thus", "hence", "as a result", "consequently", "so that"],
+    "M-HED-14": lx.HEDGES_EN,
+    "M-BOO-15": lx.BOOSTERS_EN,
+    "M-CONN-30c": lx.CONTRASTIVE_EN,
+    "M-CONN-30k": lx.CAUSAL_EN,
+    "M-CONN-30r": lx.RESULT_EN,
     "M-AWR-03": ["analyse", "approach", "assume", "concept", "context", "data", "define", "derive", "distribute", "document", "estimate", "evidence", "factor", "formula", "function", "identify", "indicate", "interpret", "method", "percent", "principle", "process", "reject", "section", "significant", "similar", "source", "specific", "structure", "theory", "vary"],
 }
 MODALS = ["can", "could", "may", "might", "must", "shall", "should", "will", "would"]

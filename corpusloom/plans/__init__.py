@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("documents", "structure", "relational", "drafts", "drift")
+MODULES = ("documents", "structure", "relational", "drafts", "drift", "profile")
 
 
 def all_queries() -> dict[str, Callable]:

@@ -130,10 +130,10 @@ def abstract_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its hits and documents; entries that never fired have 0."""
     words = tx.tokens(F.col("text"))
-    hits = [_docs(spark, sf_dir).select("doc_id", F.lit(n).alias("lexicon"), F.explode(tx.phrase_hits(words, e)).alias("entry")) for n, e in metrics.LEXICONS.items()]
-    all_hits = hits[0]
-    for h in hits[1:]:
-        all_hits = all_hits.unionByName(h)
+    named = lambda n: lambda x: F.struct(F.lit(n).alias("lexicon"), x.alias("entry"))
+    hits = [F.transform(tx.phrase_hits(words, e), named(n)) for n, e in metrics.LEXICONS.items()]
+    found = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.explode(F.concat(*hits)).alias("h"))
+    all_hits = found.select("doc_id", "h.lexicon", "h.entry")
     used = all_hits.groupBy("lexicon", "entry").agg(F.count("*").alias("n_hits"), F.count_distinct("doc_id").alias("n_docs"))
     entries = spark.createDataFrame([(n, e) for n, es in metrics.LEXICONS.items() for e in sorted(set(es))], "lexicon string, entry string")
     return entries.join(used, ["lexicon", "entry"], "left").na.fill(0, ["n_hits", "n_docs"])
@@ -296,9 +296,9 @@ SQL["band_validation"] = _VALID + " SELECT * FROM x"
 SQL["draft_outcomes"] = _VALID + """, o AS (SELECT draft_id, CAST(sum(CAST(verdict = 'pass' AS INT)) AS BIGINT) AS n_pass, CAST(sum(CAST(verdict = 'fail' AS INT)) AS BIGINT) AS n_fail, CAST(sum(CAST(verdict = 'warn' AS INT)) AS BIGINT) AS n_warn, CAST(sum(CAST(verdict = 'skipped' AS INT)) AS BIGINT) AS n_skipped, count(*) AS n FROM x GROUP BY 1)
  SELECT draft_id, n_pass, n_fail, n_warn, n_skipped, CASE WHEN n - n_skipped < 0.5 * n THEN 'unusable' WHEN n_fail > 0 THEN 'fail' ELSE 'pass' END AS outcome FROM o"""
 _HITS = " UNION ALL ".join(
-    f"SELECT doc_id, '{n}' AS lexicon, replace(trim(unnest(regexp_extract_all(padded, '{tx.phrase_pattern(e)}'))), '  ', ' ') AS entry FROM b" for n, e in M.LEXICONS.items()
+    f"SELECT doc_id, '{n}' AS lexicon, replace(trim(unnest(regexp_extract_all(padded, '{tx.phrase_pattern(e).replace(chr(39), chr(39) * 2)}'))), '  ', ' ') AS entry FROM b" for n, e in M.LEXICONS.items()
 )
-_ENTRIES = ", ".join("('" + n + "', '" + e + "')" for n, es in M.LEXICONS.items() for e in sorted(set(es)))
+_ENTRIES = ", ".join("('" + n + "', '" + e.replace("'", "''") + "')" for n, es in M.LEXICONS.items() for e in sorted(set(es)))
 SQL["lexicon_usage"] = f"WITH {_BASE}, h AS ({_HITS}), e(lexicon, entry) AS (VALUES {_ENTRIES}) SELECT lexicon, entry, count(doc_id) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM e LEFT JOIN h USING (lexicon, entry) GROUP BY 1, 2"
 
 _WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -157,7 +157,7 @@ def test_newest_block(spark):
 
 
 def test_token_metrics_golden(spark):
-    text = "The evaluation was carefully not shown. It may have improved the reduction, however."
+    text = "The evaluation was carefully not shown. It might have improved the reduction, however."
     m = metrics.token_metrics(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"))
     r = {x.doc_id: x for x in m.collect()}
     assert (r[1].n_tokens, r[1].M_HED_14, r[1].M_CONN_30c, r[1].n_nominal) == (13, 1, 1, 2)
