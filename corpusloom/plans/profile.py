@@ -10,7 +10,8 @@ from corpusloom.functions import stats
 from corpusloom.functions import text as tx
 from corpusloom.operators import blocks as bl
 from corpusloom.operators import chinese as zh
-from corpusloom.operators import corpus, metrics
+from corpusloom.operators import corpus, metrics, search
+from corpusloom.operators import federation as fd
 from corpusloom.operators import profile as pr
 from corpusloom.plans import documents as docs_plan
 from corpusloom.plans.documents import CJK, W, _docs, sql_count, sql_in
@@ -174,11 +175,11 @@ def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOI, arXiv id, mail address and year of a document by their forms; empty where there's none."""
+    """DOI, arXiv id, mail address, host of a link and year of a document by their forms; empty where there's none."""
     d = _docs(spark, sf_dir).filter("text IS NOT NULL")
     pick = lambda p: F.regexp_extract("text", p, 1)
-    found = d.select("doc_id", pick(DOI).alias("doi"), pick(ARXIV).alias("arxiv_id"), pick(MAIL).alias("mail"), pick(YEAR).alias("year"))
-    return found.filter("doi <> '' OR arxiv_id <> '' OR mail <> '' OR year <> ''")
+    found = d.select("doc_id", pick(DOI).alias("doi"), pick(ARXIV).alias("arxiv_id"), pick(MAIL).alias("mail"), pick(LINK).alias("host"), pick(YEAR).alias("year"))
+    return found.filter("host <> '' OR doi <> '' OR arxiv_id <> '' OR mail <> '' OR year <> ''")
 
 
 def info_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,16 +198,59 @@ def lexicon_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("lexicon").agg(n.alias("n_hits"), F.sum((F.col("n_hits") > 0).cast("bigint")).alias("n_used"), share(F.sum(F.when(F.col("r") <= 5, F.col("n_hits")).otherwise(0))).alias("top5_share"), share(F.sum(F.when(F.col("r") > 1, F.col("n_hits")).otherwise(0))).alias("without_first"))
 
 
+def _titles(query: str) -> list[dict]:
+    """A source for the query below: a page of the query's words, named by their number."""
+    words = query.split()
+    return [{"title": query, "url": f"https://one.example/{len(words)}", "score": 1.0}]
+
+
+def _mirrors(query: str) -> list[dict]:
+    if query.startswith("c"):
+        raise ValueError("no answer")
+    return [{"title": query.upper(), "url": f"https://www.one.example/{len(query.split())}/", "score": 0.5}, {"title": query, "url": f"https://two.example/{len(query)}", "score": 0.4}]
+
+
+def federated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of the documents asked of two engines, merged and ranked: the engines' answers are made from the query."""
+    queries = table(spark, sf_dir, "documents").select(F.regexp_replace("source", "_", " ").alias("query"))
+    weights = spark.createDataFrame([("titles", 1.0, 0), ("mirrors", 0.5, 1)], "source string, weight double, source_order int")
+    found = fd.answers(fd.fan_out(queries, {"titles": _titles, "mirrors": _mirrors}), weights, 5)
+    return found.select("query", F.col("rank").cast("bigint").alias("rank"), "key", F.round("score", 6).alias("score"), "n_found")
+
+
+def engine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "documents").select(F.regexp_replace("source", "_", " ").alias("query"))
+    return search.source_health(fd.fan_out(queries, {"titles": _titles, "mirrors": _mirrors}, breaks_after=1 << 30))
+
+
+def adapter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of every document in the unit of its language's adapter."""
+    adapters = fd.Adapters()
+    adapters.register("en", lambda text: tx.n_tokens(text))
+    adapters.register("zh", lambda text: tx.cjk_units(text))
+    d = _docs(spark, sf_dir).filter("text IS NOT NULL")
+    return d.select("doc_id", tx.language(F.col("text")).alias("language"), "text").select("doc_id", "language", adapters.column(F.col("language"), text=F.col("text")).alias("size"))
+
+
+def resumed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers that a second run must convert: new ones, and those whose file changed since the first."""
+    p = table(spark, sf_dir, "papers").select("paper_key", F.coalesce("pdf_sha256", F.lit("")).alias("digest"), "registered_at")
+    first = Window.partitionBy("paper_key").orderBy("registered_at", "digest")
+    state = p.withColumn("r", F.row_number().over(first)).filter("r = 1").select("paper_key", "digest", F.when(F.length("digest") > 0, "done").otherwise("failed").alias("status"))
+    return fd.unfinished(p.select("paper_key", "digest").distinct(), state, "paper_key", "digest").groupBy((F.col("digest") == "").alias("without_file")).agg(F.count("*").alias("n"))
+
+
 DOI = r"\b(10\.\d{4,9}/[^\s\"<>]+[A-Za-z0-9])"
 ARXIV = r"(?i:arxiv:\s*)(\d{4}\.\d{4,5})"
 MAIL = r"\b([A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]*[A-Za-z])\b"
+LINK = r"https?://([A-Za-z0-9.-]+)"
 YEAR = r"\(((?:19|20)[0-9]{2})\)"
 INFO = {"headings": r"(?m)^#{1,6}[ \t]+[^\s]", "table_rows": r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$", "formulas": r"\$\$[^$]+\$\$", "images": r"!\[[^\]\n]*\]\([^)\n]*\)"}
 
 QUERIES = {
     f.__name__: f
     for f in (chinese_rates, chinese_tokens, opening_connectors, token_spans, table_columns_median, table_density, stream_index, section_resolution, figure_classes, figure_summary, lexicon_fingerprint, run_comparison,
-              quantile_recompute, missing_causes, checkable_metrics, embedded_figures, annotation_score, sample_topup, chapter_continuity, numbered_titles, pipe_tables, metadata_fields, info_classes, lexicon_validity)
+              quantile_recompute, missing_causes, checkable_metrics, embedded_figures, annotation_score, sample_topup, chapter_continuity, numbered_titles, pipe_tables, metadata_fields, info_classes, lexicon_validity, federated_search, engine_errors, adapter_units, resumed_work)
 }
 
 
@@ -250,7 +294,14 @@ SQL = {
     "numbered_titles": rf"WITH t AS (SELECT trim(text_plain, ' ') AS x FROM blocks WHERE text_plain IS NOT NULL) SELECT CAST(least(len(string_split(regexp_extract(x, '{pr.NUMBERED}', 1), '.')), 3) AS INTEGER) AS level, count(*) AS n FROM t WHERE regexp_matches(x, '{pr.NUMBERED}') AND NOT regexp_matches(x, '[。！？；!?;]|[.]$') GROUP BY 1",
     "pipe_tables": f"""WITH t AS (SELECT DISTINCT block_id, table_body FROM blocks WHERE kind = 'tables'), r AS (SELECT block_id, list_filter(list_transform(regexp_extract_all(coalesce(table_body, ''), '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: {_HTML.replace("@", "c")})), lambda r: len(r) > 0) AS rs FROM t),
  l AS (SELECT block_id, list_transform(rs, lambda r: '| ' || array_to_string(r, ' | ') || ' |') AS ls, '|' || repeat('---|', len(rs[1])) AS rule FROM r WHERE len(rs) > 0) SELECT block_id, ls[1] || chr(10) || rule || CASE WHEN len(ls) > 1 THEN chr(10) || array_to_string(ls[2:], chr(10)) ELSE '' END AS pipe FROM l""",
-    "metadata_fields": f"WITH x AS (SELECT doc_id, regexp_extract(text, '{_quoted(DOI)}', 1) AS doi, regexp_extract(text, '{_quoted(ARXIV)}', 1) AS arxiv_id, regexp_extract(text, '{_quoted(MAIL)}', 1) AS mail, regexp_extract(text, '{_quoted(YEAR)}', 1) AS year FROM documents WHERE text IS NOT NULL) SELECT * FROM x WHERE doi <> '' OR arxiv_id <> '' OR mail <> '' OR year <> ''",
+    "metadata_fields": f"WITH x AS (SELECT doc_id, regexp_extract(text, '{_quoted(DOI)}', 1) AS doi, regexp_extract(text, '{_quoted(ARXIV)}', 1) AS arxiv_id, regexp_extract(text, '{_quoted(MAIL)}', 1) AS mail, regexp_extract(text, '{LINK}', 1) AS host, regexp_extract(text, '{_quoted(YEAR)}', 1) AS year FROM documents WHERE text IS NOT NULL) SELECT * FROM x WHERE host <> '' OR doi <> '' OR arxiv_id <> '' OR mail <> '' OR year <> ''",
     "info_classes": "SELECT doc_id, " + ", ".join(f"CAST({sql_count('text', p)} AS BIGINT) AS {n}" for n, p in INFO.items()) + f", CAST({sql_count('text', '[0-9０-９]')} AS BIGINT) AS digits FROM documents WHERE text IS NOT NULL",
     "lexicon_validity": f"WITH u AS ({docs_plan.SQL['lexicon_usage']}), r AS (SELECT *, row_number() OVER (PARTITION BY lexicon ORDER BY n_hits DESC, entry) AS r FROM u) SELECT lexicon, CAST(sum(n_hits) AS BIGINT) AS n_hits, CAST(sum(CAST(n_hits > 0 AS INT)) AS BIGINT) AS n_used, round(sum(CASE WHEN r <= 5 THEN n_hits ELSE 0 END) / nullif(sum(n_hits), 0), 6) AS top5_share, round(sum(CASE WHEN r > 1 THEN n_hits ELSE 0 END) / nullif(sum(n_hits), 0), 6) AS without_first FROM r GROUP BY 1",
+    "federated_search": """WITH q AS (SELECT DISTINCT replace(source, '_', ' ') AS query FROM documents WHERE source IS NOT NULL),
+ r AS (SELECT query, 'url:https://one.example/' || len(string_split(query, ' ')) AS key, 1.0 AS s FROM q UNION ALL SELECT query, 'url:https://one.example/' || len(string_split(query, ' ')), 0 FROM q WHERE NOT starts_with(query, 'c') UNION ALL SELECT query, 'url:https://two.example/' || length(query), 0.2 FROM q WHERE NOT starts_with(query, 'c')),
+ m AS (SELECT query, key, max(s) + CASE WHEN count(*) > 1 THEN 0.15 * 0.5 ELSE 0 END AS score, count(*) AS n_found FROM r GROUP BY 1, 2)
+ SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank, key, round(score, 6) AS score, n_found FROM m""",
+    "engine_errors": "WITH q AS (SELECT DISTINCT source AS query FROM documents WHERE source IS NOT NULL) SELECT 'titles' AS source, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_errors, false AS failed FROM q UNION ALL SELECT 'mirrors', CAST(sum(CASE WHEN starts_with(query, 'c') THEN 1 ELSE 2 END) AS BIGINT), CAST(sum(CAST(starts_with(query, 'c') AS INT)) AS BIGINT), bool_and(starts_with(query, 'c')) FROM q",
+    "adapter_units": f"WITH t AS (SELECT doc_id, {sql_count('text', W)} AS w, {sql_count('text', CJK)} AS c FROM documents WHERE text IS NOT NULL), l AS (SELECT *, CASE WHEN c > 0.1 * (c + w) THEN 'zh' WHEN w > 0 THEN 'en' ELSE 'unknown' END AS language FROM t) SELECT doc_id, language, CAST(CASE WHEN language = 'zh' THEN w + c ELSE w END AS BIGINT) AS size FROM l",
+    "resumed_work": "WITH p AS (SELECT paper_key, coalesce(pdf_sha256, '') AS digest, row_number() OVER (PARTITION BY paper_key ORDER BY registered_at, coalesce(pdf_sha256, '')) AS r FROM papers), w AS (SELECT DISTINCT paper_key, digest FROM p), d AS (SELECT paper_key, digest FROM p WHERE r = 1 AND length(digest) > 0) SELECT digest = '' AS without_file, count(*) AS n FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.paper_key = w.paper_key AND d.digest = w.digest) GROUP BY 1",
 }

@@ -76,8 +76,9 @@ def order_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines whose order isn't among the finished ones."""
     edges = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    gone = checks.orphans(edges, table(spark, sf_dir, "orders"), ["l_orderkey"], "o_orderkey")
+    gone = checks.orphans(edges, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), ["l_orderkey"], "o_orderkey")
     return gone.groupBy("missing_end").agg(F.count("*").alias("n"))
 
 
@@ -248,7 +249,7 @@ SQL = {
     "verdict_crosstab": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1",
     "retention_plan": "SELECT o_custkey, count(*) AS n_gone, max(o_orderkey) AS last_key FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r > 5 GROUP BY 1",
     "order_gaps": "WITH l AS (SELECT l_orderkey, l_linenumber AS number, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) + 1, 1) AS expected, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS again FROM lineitem), p AS (SELECT l_orderkey, CASE WHEN number = expected THEN NULL WHEN again AND number < expected THEN 'duplicate' WHEN number > expected THEN 'gap' ELSE 'backward' END AS problem FROM l) SELECT problem, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM p WHERE problem IS NOT NULL GROUP BY 1",
-    "orphan_orders": "SELECT 'l_orderkey' AS missing_end, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) e WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) HAVING count(*) > 0",
+    "orphan_orders": "SELECT 'l_orderkey' AS missing_end, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) e WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F') HAVING count(*) > 0",
     "segment_inventory": "WITH c AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS segment FROM customer), s AS (SELECT DISTINCT n_regionkey, segment FROM c JOIN nation ON nation = n_nationkey), e AS (SELECT n_nationkey AS nation, segment FROM nation JOIN s USING (n_regionkey)) SELECT CASE WHEN c.nation IS NULL THEN 'missing' WHEN e.nation IS NULL THEN 'extra' ELSE 'present' END AS state, count(*) AS n FROM e FULL JOIN c ON e.nation = c.nation AND e.segment = c.segment GROUP BY 1",
     "registry_audit": "WITH a AS (SELECT corpus_name AS name, count(DISTINCT paper_key) AS actual FROM papers GROUP BY 1) SELECT coalesce(e.name, a.name) AS name, CAST(e.n_papers AS DOUBLE) AS expected, CAST(a.actual AS DOUBLE) AS actual, CASE WHEN a.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unexpected' WHEN e.n_papers = a.actual THEN 'match' ELSE 'drift' END AS verdict FROM test_corpora e FULL JOIN a ON e.name = a.name",
     "language_record_mismatch": "WITH p AS (SELECT language, CASE WHEN cjk_ratio > 0.10 THEN 'zh' WHEN cjk_ratio IS NOT NULL THEN 'en' END AS rule FROM papers) SELECT CASE WHEN rule IS NULL THEN 'not_assessed' WHEN language IS NOT DISTINCT FROM rule THEN 'same' WHEN language IS NULL THEN 'missing' ELSE 'other' END AS verdict, count(*) AS n FROM p GROUP BY 1",

@@ -117,17 +117,17 @@ def figure_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a paper whose index isn't the next one."""
-    b = _newest(spark, sf_dir, ["block_id", "paper_key", "block_index"]).select("paper_key", (F.col("block_index") + 1).alias("number"), "block_id")
+    """Prose blocks of a paper whose index isn't the next one."""
+    b = _newest(spark, sf_dir, ["block_id", "paper_key", "block_index", "kind"]).filter("kind = 'prose'").select("paper_key", (F.col("block_index") + 1).alias("number"), "block_id")
     return checks.continuity(b, ["paper_key"], "number", ["number", "block_id"]).groupBy("problem").agg(F.count("*").alias("n"), F.count_distinct("paper_key").alias("n_papers"))
 
 
 def running_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated images with their occurrence and total, in paper order."""
+    """Images of a paper with their occurrence and total, in paper order."""
     b = _newest(spark, sf_dir, ["block_id", "paper_key", "block_index", "img_path"]).filter("img_path IS NOT NULL").select("paper_key", "img_path", "block_index", "block_id")
     same = Window.partitionBy("paper_key", "img_path")
     out = b.select("paper_key", "img_path", "block_id", F.row_number().over(same.orderBy("block_index", "block_id")).cast("bigint").alias("occurrence"), F.count("*").over(same).alias("n_same"))
-    return out.filter("n_same > 1")
+    return out
 
 
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +185,8 @@ SQL = {
     "figure_references": f"WITH {_TYPED}, {_mention_sql('figures?|figs?|abbildung|figura|图|図')}, d AS (SELECT DISTINCT paper_key, {_NUM} AS n FROM t WHERE stream = 'figures'), u AS (SELECT paper_key, n, max(d) AS d, max(r) AS r FROM (SELECT paper_key, n, 1 AS d, 0 AS r FROM d WHERE n IS NOT NULL UNION ALL SELECT paper_key, n, 0, 1 FROM ex) GROUP BY 1, 2) SELECT paper_key, CAST(sum(d) AS BIGINT) AS declared, CAST(sum(r) AS BIGINT) AS referenced, CAST(sum(d * r) AS BIGINT) AS shared, CAST(sum(r * (1 - d)) AS BIGINT) AS dangling, CAST(sum(d * (1 - r)) AS BIGINT) AS uncited, round(sum(d * r) / count(*), 6) AS jaccard FROM u GROUP BY 1",
     "table_reference_depth": f"WITH {_TYPED}, {_mention_sql('tables?|tabelle|tableau|tabla|表')}, d AS (SELECT DISTINCT paper_key, {_NUM} AS n FROM t WHERE stream = 'tables'), k AS (SELECT d.paper_key, d.n, count(ex.n) AS k FROM d LEFT JOIN ex ON d.paper_key = ex.paper_key AND d.n = ex.n WHERE d.n IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY paper_key ORDER BY k) AS i, count(*) OVER (PARTITION BY paper_key) AS c FROM k) SELECT paper_key, count(*) AS n_declared, CAST(sum(k) AS BIGINT) AS n_mentions, max(CASE WHEN i = c // 2 + 1 THEN k END) AS depth FROM r GROUP BY 1",
     "figure_numbering": f"WITH {_TYPED}, d AS (SELECT paper_key, {_NUM} AS n FROM t WHERE stream = 'figures'), p AS (SELECT paper_key, n, count(*) AS k FROM d WHERE n IS NOT NULL GROUP BY 1, 2) SELECT paper_key, CAST(sum(k) AS BIGINT) AS n_declared, count(*) AS n_distinct, CAST(sum(k) - count(*) AS BIGINT) AS n_duplicate, CAST(max(n) - sum(CASE WHEN n >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, round(count(*) / sum(k), 6) AS value FROM p GROUP BY 1",
-    "block_continuity": f"WITH {_NEWEST}, l AS (SELECT paper_key, block_index + 1 AS number, coalesce(lag(block_index + 1) OVER (PARTITION BY paper_key ORDER BY block_index, block_id) + 1, 1) AS expected, count(*) OVER (PARTITION BY paper_key, block_index) > 1 AS again FROM nb WHERE block_index IS NOT NULL), p AS (SELECT paper_key, CASE WHEN number = expected THEN NULL WHEN again AND number < expected THEN 'duplicate' WHEN number > expected THEN 'gap' ELSE 'backward' END AS problem FROM l) SELECT problem, count(*) AS n, count(DISTINCT paper_key) AS n_papers FROM p WHERE problem IS NOT NULL GROUP BY 1",
-    "running_index": f"WITH {_NEWEST} SELECT * FROM (SELECT paper_key, img_path, block_id, row_number() OVER (PARTITION BY paper_key, img_path ORDER BY block_index, block_id) AS occurrence, count(*) OVER (PARTITION BY paper_key, img_path) AS n_same FROM nb WHERE img_path IS NOT NULL) WHERE n_same > 1",
+    "block_continuity": f"WITH {_NEWEST}, l AS (SELECT paper_key, block_index + 1 AS number, coalesce(lag(block_index + 1) OVER (PARTITION BY paper_key ORDER BY block_index, block_id) + 1, 1) AS expected, count(*) OVER (PARTITION BY paper_key, block_index) > 1 AS again FROM nb WHERE block_index IS NOT NULL AND kind = 'prose'), p AS (SELECT paper_key, CASE WHEN number = expected THEN NULL WHEN again AND number < expected THEN 'duplicate' WHEN number > expected THEN 'gap' ELSE 'backward' END AS problem FROM l) SELECT problem, count(*) AS n, count(DISTINCT paper_key) AS n_papers FROM p WHERE problem IS NOT NULL GROUP BY 1",
+    "running_index": f"WITH {_NEWEST} SELECT * FROM (SELECT paper_key, img_path, block_id, row_number() OVER (PARTITION BY paper_key, img_path ORDER BY block_index, block_id) AS occurrence, count(*) OVER (PARTITION BY paper_key, img_path) AS n_same FROM nb WHERE img_path IS NOT NULL)",
     "box_overlaps": f"""WITH {_NEWEST}, b AS (SELECT paper_key, page_idx, block_id AS id, CAST(bbox[1] AS DOUBLE) AS x1, CAST(bbox[2] AS DOUBLE) AS y1, CAST(bbox[3] AS DOUBLE) AS x2, CAST(bbox[4] AS DOUBLE) AS y2 FROM nb WHERE len(bbox) = 4 AND page_idx IS NOT NULL),
  k AS (SELECT * FROM b WHERE x2 > x1 AND y2 > y1),
  p AS (SELECT a.paper_key, (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (c.x2 - c.x1) * (c.y2 - c.y1)) AS share FROM k a JOIN k c ON a.paper_key = c.paper_key AND a.page_idx = c.page_idx AND a.id < c.id AND a.x1 < c.x2 AND c.x1 < a.x2 AND a.y1 < c.y2 AND c.y1 < a.y2)

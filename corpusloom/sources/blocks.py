@@ -91,27 +91,44 @@ def pipe_cells(line: str) -> list[str]:
     return [c.replace("\\|", "|").strip() for c in cells]
 
 
+def merge_parts(cell: str) -> tuple[str, int, int]:
+    """(text, columns, rows) of a cell: marks close it ("text ^^2 <<3"); a bare "^^" goes on the cell above and has no rows."""
+    text, wide, tall = cell.strip(), 1, 1
+    if span := re.fullmatch(r"(.*?)\s*<<(\d+)", text, re.S):
+        text, wide = span.group(1), max(1, int(span.group(2)))
+    if text == "^^":
+        return "", 1, 0
+    if span := re.fullmatch(r"(.*?)\s*\^\^(\d+)", text, re.S):
+        text, tall = span.group(1), max(1, int(span.group(2)))
+    return text, wide, tall
+
+
 def grid_html(grid: list[list[str]]) -> str:
-    """An HTML table of a grid; "<<n" spans n columns, "^^" goes on the cell above."""
+    """An HTML table of a grid; a closing "<<n" spans n columns, "^^n" n rows, a bare "^^" goes on the cell above.
+
+    Placeholders (bare or empty cells) under a span are covered by it; a span ends with the grid.
+    """
+    parsed = [[merge_parts(x) for x in row] for row in grid]
     height = len(grid)
     gone: set[tuple[int, int]] = set()
     out = []
-    for r, row in enumerate(grid):
+    for r, row in enumerate(parsed):
         cells = []
         c = 0
         while c < len(row):
-            text = row[c]
-            if (r, c) in gone or text.startswith("^^"):
+            text, wide, rows = row[c]
+            if (r, c) in gone or rows == 0:
                 c += 1
                 continue
-            wide = 1
-            span = re.fullmatch(r"(.*?)\s*<<(\d+)", text, re.S)
-            if span:
-                text, wide = span.group(1), max(1, min(int(span.group(2)), len(row) - c))
+            wide = min(wide, len(row) - c)
             tall = 1
-            while r + tall < height and c < len(grid[r + tall]) and grid[r + tall][c].startswith("^^"):
+            while r + tall < height and c < len(parsed[r + tall]):
+                below = parsed[r + tall][c]
+                if below[2] and not (tall < rows and below[0] == ""):
+                    break
                 gone.add((r + tall, c))
                 tall += 1
+            tall = max(tall, min(rows, height - r))
             escaped = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
             cells.append(f"<td{f' colspan=\"{wide}\"' if wide > 1 else ''}{f' rowspan=\"{tall}\"' if tall > 1 else ''}>{escaped}</td>")
             c += wide
@@ -119,6 +136,21 @@ def grid_html(grid: list[list[str]]) -> str:
     return "<table>" + "".join(out) + "</table>"
 
 
+def merge_problems(grid: list[list[str]]) -> list[tuple[int, int, str]]:
+    """(row, column, problem) of merge marks: spans beyond the row or the grid, and continuations without a cell above."""
+    out = []
+    for r, row in enumerate(grid):
+        for c, cell in enumerate(row):
+            _, wide, tall = merge_parts(cell)
+            if c + wide > len(row):
+                out.append((r, c, "columns beyond the row"))
+            if r + tall > len(grid):
+                out.append((r, c, "rows beyond the table"))
+            if tall == 0 and (r == 0 or c >= len(grid[r - 1])):
+                out.append((r, c, "nothing above"))
+    return out
+
+
 def markdown_blocks(text: str) -> list[tuple[str, str, int | None, str | None]]:
     """(type, text, heading level, table HTML) of a Markdown text: headings, fences, display math, tables, images, lists, text."""
     body, _ = front_matter(text)
