@@ -15,7 +15,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,14 @@ def code(label: str | None) -> str | None:
     return SPELLED.get(low) or SPELLED.get(base) or base
 
 
+def code_of(label: Column) -> Column:
+    """``code`` of a column, on the JVM side."""
+    low = F.lower(F.regexp_replace(label, r"^\s+|\s+$", ""))
+    base = F.split(low, r"[-_ (]")[0]
+    spelled = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
+    return F.when(low != "", F.coalesce(F.try_element_at(spelled, low), F.try_element_at(spelled, base), base))
+
+
 class KneserNey:
     """Character models of several languages over short sequences."""
 
@@ -336,7 +344,7 @@ class Detector:
 
 def training_sample(cases: DataFrame, max_per_label: int = SAMPLE) -> list[tuple[str, str]]:
     """(code, text): at most ``max_per_label`` labelled texts a language, whatever its spelling, chosen by a hash of the key - the only bounded part."""
-    label = F.udf(code, T.StringType())("expected.language")
+    label = code_of(F.col("expected.language"))
     light = cases.filter(F.col("expected.language").isNotNull() & (F.length("text") >= 20)).select(label.alias("label"), "text", F.xxhash64("case_id").alias("h"))
     order = Window.partitionBy("label").orderBy("h", "text")
     ranked = light.filter(F.col("label").isin(*LANGUAGES)).withColumn("r", F.row_number().over(order))
@@ -441,7 +449,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = by_case.filter((F.size("found") > 1) | F.col("label").isNull() | (F.col("label") != F.col("found")[0]))
     cases = wrong.select(F.lit("lang_spec_cases").alias("src"), "rec_key", F.explode("found").alias("language"))
     best = _corpora(spark, sf_dir, detector).groupBy("rec_key").agg(F.max_by("language", F.struct("n", "language")).alias("language"))
-    named = table(spark, sf_dir, "test_corpora").select(F.col("name").alias("rec_key"), F.udf(code, T.StringType())("language").alias("label"))
+    named = table(spark, sf_dir, "test_corpora").select(F.col("name").alias("rec_key"), code_of(F.col("language")).alias("label"))
     corpora = named.join(best, "rec_key", "left").withColumn("language", F.coalesce("language", F.lit(UNKNOWN)))
     corpora = corpora.filter(F.col("label").isNull() | (F.col("label") != F.col("language"))).select(F.lit("test_corpora").alias("src"), "rec_key", "language").distinct()
     return cases.unionByName(corpora)

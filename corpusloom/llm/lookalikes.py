@@ -226,25 +226,36 @@ def _forms(texts: DataFrame, key: str, column: str, canonical: Canonical, kind:
     return map_rows(texts.select(F.col(key).cast("bigint").alias(key), column), make, schema)
 
 
-def lookalike_pairs(texts: DataFrame, key: str, column: str, canonical: Canonical | None = None) -> DataFrame:
-    """key_a < key_b: pairs of rows that look the same while their strings differ.
+def _digests(raw: str, form: str) -> tuple:
+    return (xxhash.xxh3_128_digest(form.encode("utf-8", "replace")), xxhash.xxh3_128_digest(raw.encode("utf-8", "replace"))) if form else (None, None)
+
 
-    Texts meet by the 128-bit digest of their form, so a row moves as 40 bytes. Groups in which all strings are equal
-    are dropped before any pair is made; what remains are the pairs asked for. Defined results: null keys and texts and
-    texts without a visible character pair with nothing; repeated rows count once; extra columns are ignored; an empty
-    table gives no rows.
+def lookalike_classes(texts: DataFrame, key: str, column: str, canonical: Canonical | None = None) -> DataFrame:
+    """key, form, raw: the class of every row by its text's form, and the digest of its string, both of 128 bits.
+
+    Null keys and texts, and texts without a visible character, are in no class; repeated rows count once.
     """
     canonical = canonical or corpus_canonical(texts, column)
+    return _forms(texts, key, column, canonical, T.BinaryType(), _digests, ["form", "raw"]).filter(f"form IS NOT NULL AND {key} IS NOT NULL").distinct()
+
 
-    def digests(raw: str, form: str) -> tuple:
-        return (xxhash.xxh3_128_digest(form.encode("utf-8", "replace")), xxhash.xxh3_128_digest(raw.encode("utf-8", "replace"))) if form else (None, None)
+def lookalike_pairs(texts: DataFrame, key: str, column: str, canonical: Canonical | None = None) -> DataFrame:
+    """key_a < key_b: pairs of rows that look the same while their strings differ.
 
-    rows = checkpoint(_forms(texts, key, column, canonical, T.BinaryType(), digests, ["form", "raw"]).filter(f"form IS NOT NULL AND {key} IS NOT NULL"))
+    Texts meet by the 128-bit digest of their form, so a row moves as 40 bytes. First the different strings of a form are
+    paired, however many rows hold them, then the rows of each string are joined to its pairs: equal rows never meet each
+    other, and a string that a third of all rows hold costs a row for each pair asked for. Defined results: null keys and
+    texts and texts without a visible character pair with nothing; repeated rows count once; extra columns are ignored;
+    an empty table gives no rows.
+    """
+    rows = checkpoint(lookalike_classes(texts, key, column, canonical))
     spread = rows.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("form")
-    kept = rows.join(spread, "form", "left_semi").distinct()
-    a = kept.select("form", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
-    b = kept.select("form", F.col(key).alias("key_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").filter("key_a < key_b AND raw_a <> raw_b").select("key_a", "key_b").distinct()
+    kept = rows.join(spread, "form", "left_semi")
+    strings = kept.select("form", "raw").distinct()
+    pairs = strings.withColumnRenamed("raw", "raw_a").join(strings.withColumnRenamed("raw", "raw_b"), "form").filter("raw_a < raw_b")
+    holders = lambda n: kept.select("form", F.col("raw").alias(f"raw_{n}"), F.col(key).alias(f"k{n}"))
+    met = pairs.join(holders("a"), ["form", "raw_a"]).join(holders("b"), ["form", "raw_b"]).filter("ka <> kb")
+    return met.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,4 +279,9 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_forms(_prose(spark, sf_dir), "block_id", "text_plain")
 
 
-QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms}
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prose block with its class of texts that look the same and its own string, as hexadecimal digests."""
+    return lookalike_classes(_prose(spark, sf_dir), "block_id", "text_plain").select("block_id", F.hex("form").alias("form"), F.hex("raw").alias("raw"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms, "p6_classes": p6_classes}

@@ -112,6 +112,15 @@ def test_lookalike_pairs(spark):
     assert lookalikes.lookalike_pairs(df.limit(0), "k", "t").count() == 0
 
 
+def test_lookalike_pairs_by_brute_force(spark):
+    rng = random.Random(2)
+    forms = lookalikes.Canonical()
+    rows = [(rng.randrange(40), "".join(rng.choice(["a", "\u0430", "b ", "b\xa0", "\u200b"]) for _ in range(3))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    want = {(min(a, c), max(a, c)) for a, x in rows for c, y in rows if a != c and x != y and forms(x) and forms(x) == forms(y)}
+    assert {tuple(r) for r in lookalikes.lookalike_pairs(df, "k", "t", forms).collect()} == want
+
+
 # ---- leakage
 
 ITEM = "When Harkel reread section 128 of the Rinbry draft, 52 clauses lost their Holbry label and the remaining 325 moved into the Cobsol band near 35.23."
@@ -503,6 +512,12 @@ def test_mixed_segments(detector):
     assert [s[2] for s in detector.segments(f"{TEXTS['en']} (Der). See https://der.die/das")] == ["en"]
 
 
+def test_code_column(spark):
+    labels = ["EN", "en_US", "zh_Hans", "German", " fra\t", None, " ", "", "unknown", "xx", "Deutsch (AT)", "-", *language.SPELLED]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string").select("i", language.code_of(language.F.col("label")).alias("c")).collect()
+    assert {r.i: r.c for r in rows} == {i: language.code(x) for i, x in enumerate(labels)}
+
+
 def test_codes():
     assert [language.code(x) for x in ("EN", "en_US", "zh_Hans", "German", "fra", None, " ", "unknown", "xx")] == ["en", "en", "zh", "de", "fr", None, None, "unknown", "xx"]
 
