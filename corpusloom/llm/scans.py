@@ -95,6 +95,7 @@ class Chain:
         self.rows = emit.tolist()
         self.steps = after.tolist()
         self.lower = self.rows[HEAD][PLACE["lower"]]
+        self.head = (emit[HEAD] - emit[BODY]).tolist()
 
     def scores(self, features: list[int]) -> list[float]:
         """The score of each label for a line with these features."""
@@ -411,8 +412,8 @@ class Lines:
         self.number = [_is_number(x) for x in self.lines]
         self.broken = [i + 1 < len(self.lines) and x[-1] in BREAKS and BROKEN_END.search(x) is not None for i, x in enumerate(self.lines)]
         self.features = [self._features(i) for i in range(len(self.lines))]
-        self.scores = [chain.scores(f) for f in self.features]
-        self.odds = [s[HEAD] - s[BODY] for s in self.scores]
+        head = chain.head
+        self.odds = [sum([head[k] for k in f]) for f in self.features]
         self.labels = self._decode()
 
     def _neighbour(self, i: int, step: int) -> str | None:
@@ -476,8 +477,9 @@ class Lines:
         if max(self.odds, default=DOUBT) < DOUBT and not any(self.number):
             return [BROKEN if x else BODY for x in self.broken]
         steps = self.chain.steps
-        best = [(s, (label,)) for label, s in enumerate(self.scores[0])]
-        for scores in self.scores[1:]:
+        every = [self.chain.scores(f) for f in self.features]
+        best = [(s, (label,)) for label, s in enumerate(every[0])]
+        for scores in every[1:]:
             best = [max(((v + steps[path[-1]][label] + scores[label], (*path, label)) for v, path in best), key=lambda o: o[0]) for label in range(4)]
         return list(max(best, key=lambda o: o[0])[1])
 
@@ -781,11 +783,13 @@ def fitted(texts: DataFrame, titles: DataFrame) -> Chain:
     """
     known = known_titles(titles)
     lines = texts.filter(F.col("text").contains("\n") & (F.length("text") <= SAMPLE_CHARS) & F.col("rec_id").isNotNull())
-    lines = lines.join(known.select("paper_key").distinct(), "paper_key", "left_semi")
-    # so few rows pass the hash that no partition sends many to be ordered
-    share = 2 * SAMPLE / max(1, lines.count())
-    spread = F.pmod(F.xxhash64("rec_id", "field"), F.lit(1 << 30))
-    sample = lines.filter(spread < int(min(1.0, share) * (1 << 30))).orderBy(spread, "rec_id", "field").limit(SAMPLE).select("rec_id", "field", "paper_key", "text").collect()
+    # the least text by hash of each bucket: one pass, and at most so many rows leave a partition
+    bucket, order = F.pmod(F.xxhash64("rec_id", "field", F.lit("bucket")), F.lit(2 * SAMPLE)), F.xxhash64("rec_id", "field")
+    least = F.min_by(F.struct("rec_id", "field", "paper_key", "text"), F.struct(order, "rec_id", "field"))
+    picked = [r["r"] for r in lines.groupBy(bucket.alias("b")).agg(least.alias("r")).select("r").collect()]
+    papers = texts.sparkSession.createDataFrame([(p,) for p in {r["paper_key"] for r in picked if r["paper_key"] is not None}], "paper_key string")
+    with_titles = {r["paper_key"] for r in papers.join(known, "paper_key", "left_semi").collect()}
+    sample = sorted((r for r in picked if r["paper_key"] in with_titles), key=lambda r: (r["rec_id"], r["field"]))[:: max(1, len(picked) // SAMPLE)][:SAMPLE]
     laid = {(r["rec_id"], r["field"], r["paper_key"]): Lines(r["text"], Judged({}, {}), DEFAULT) for r in sample if content_class(r["text"]) is None}
     rows = [(*key, i, norm_title(x)) for key, one in laid.items() for i, x in enumerate(one.lines)]
     asked = texts.sparkSession.createDataFrame([r for r in rows if len(r[-1]) >= 8], LABELLED)
