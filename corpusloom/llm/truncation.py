@@ -38,8 +38,10 @@ CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 TOKEN = re.compile(rf"[{CJK}]|\d[\d.,]*\d|\d|[^\W\d_{CJK}]+(?:['’\-][^\W\d_{CJK}]+)*|[.!?…。！？।؟]|\n")
 #: Stops as the tokens have them: none within a figure.
 STOP = re.compile(r"(?<!\d)[.!?…]|[.!?…](?!\d)|[。！？।؟]")
+SIGN_SIZE = 16
 STOPS = frozenset(".!?…。！？।؟")
-ENDED = re.compile(r"""[.!?…。！？।؟]["'”’»」』）)\]*_]*\s*$""")
+#: Closing marks and signs of emphasis that may stand after the last stop.
+AFTER_STOP = "\"'”’»」』）)]*_"
 DIGIT_STOP = re.compile(r"\d[.,]$")
 STRUCTURE = re.compile(r"```|~~~|#{1,6}\s|\[\^?\d+\]\s|[—–]{1,2}\s?\S|https?://|www\.|<[/A-Za-z]|\||(?:Keywords|Tags|Source|Quelle|Fuente)\s?:|关键词")
 TAIL_MARK = re.compile(r"(?:\[\^?\d{1,4}\]|[¹²³⁴-⁹⁰]+)\s*$")
@@ -142,7 +144,8 @@ def ending(text: str, codes: Codes) -> tuple[str, bool, int, str | None, bool, l
 
     States: ended (by a stop), closed (by a heading, reference, fence or the like), other (no prose), open.
     """
-    sign = SIGN.search(text)
+    # the longest sign has SIGN_SIZE characters, blanks after it apart
+    sign = SIGN.search(text, max(0, len(text.rstrip()) - SIGN_SIZE))
     body = text[: sign.start()] if sign else text
     length = len(body)
     bare = body.rstrip()
@@ -151,8 +154,9 @@ def ending(text: str, codes: Codes) -> tuple[str, bool, int, str | None, bool, l
     marked = sign is not None
     if bare[-1] == "�":
         return "broken", marked, length, None, False, []
-    figure = DIGIT_STOP.search(bare) is not None
-    if not marked and not figure and ENDED.search(bare):
+    figure = DIGIT_STOP.search(bare[-2:]) is not None
+    ended = bare.rstrip(AFTER_STOP)[-1:] in STOPS
+    if not marked and not figure and ended:
         # a list or table that ends so is whole too
         return "ended", False, length, None, False, []
     kind = content_class(body)
@@ -165,7 +169,7 @@ def ending(text: str, codes: Codes) -> tuple[str, bool, int, str | None, bool, l
         return "broken", marked, length, None, False, []
     if STRUCTURE.match(last_line) or last_line.endswith("```"):
         return "closed", marked, length, *_last_word(bare), []
-    if ENDED.search(bare) and not figure:
+    if ended and not figure:
         return "ended", marked, length, None, False, []
     tail = bare.rstrip(".,") if figure else bare
     stop = None
