@@ -33,6 +33,21 @@ def test_lint(spark):
     assert spark.createDataFrame([(4, "a\nb😀\nc")], "o int, t string").select(lint.line_of(F.col("o"), F.col("t"))).first()[0] == 2
 
 
+def test_heading_numbers_of_any_length(spark):
+    big = "9" * 50
+    texts = [
+        "# 9999999999999 A\n# 10000000000000 B\n# 10000000000002 C",
+        "# 2147483647 A\n# 2147483648 B",
+        f"# {big} A\n# 1{'0' * 50} B\n# 1{'0' * 49}1 C\n# 1{'0' * 49}1 D",
+        "# 007 A\n# 8 B\n# 0 C\n# 01 D\n# 9 E\n# 10 F",
+        "# 1" + ".1" * 9999 + " A\n# 1" + ".1" * 9998 + ".3 B",
+        "word " * 500 + "\n[" + ", ".join(["12"] * 9999) + "]",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no) for r in lint.lint(df).collect() if r.code in ("HEADING_NUMBER", "NO_CITATION")}
+    assert got == {(0, 1), (0, 3), (1, 1), (2, 1), (2, 4), (3, 1), (3, 3), (3, 5), (4, 2)}
+
+
 def test_evidence_spans(spark):
     text = "😀 May be; it may  be so, and It Is Likely that mayor may."
     df = spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")
