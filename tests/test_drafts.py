@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import evidence as ev
 from corpusloom.operators import lint
+from corpusloom.plans import drafts
 from corpusloom.sources import landed, word
 
 DRAFT = """# 1 One
@@ -48,6 +49,12 @@ def test_heading_numbers_of_any_length(spark):
     assert got == {(0, 1), (0, 3), (1, 1), (2, 1), (2, 4), (3, 1), (3, 3), (3, 5), (4, 2)}
 
 
+def test_findings_by_source_of_long_numbers(spark, tmp_path):
+    rows = [(1, "# 9999999999999 A", "web", None), (2, "# 1 A\n# 3000000000 B", "web", None), (3, f"# {'8' * 40} A\n# {'8' * 39}9 B", None, "body"), (4, "# 1 A", "web", None), (5, None, "web", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, section string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in drafts.findings_by_source(spark, str(tmp_path)).collect()} == {("web", "error", "HEADING_NUMBER", 2), (None, "error", "HEADING_NUMBER", 1)}
+
+
 def test_evidence_spans(spark):
     text = "😀 May be; it may  be so, and It Is Likely that mayor may."
     df = spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")
