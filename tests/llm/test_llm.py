@@ -431,6 +431,60 @@ def test_judged_like_the_whole_dictionary(spark):
     assert {tuple(r) for r in scans.repaired(texts).collect()} == want
 
 
+def test_texts_are_read_once_to_be_judged(spark, monkeypatch):
+    """Words and broken words come of one pass over the texts."""
+    rows = ["the re-\nuse of it", "re-use once", "the un-\nknown one", None, "", "a | b\nc-\nd | e\n1 | 2\n3 | 4"]
+    df = spark.createDataFrame([(i, "text_plain", "p", t) for i, t in enumerate(rows)], "rec_id long, field string, paper_key string, text string")
+    read, real = [], scans.map_rows
+    monkeypatch.setattr(scans, "map_rows", lambda df, *a: read.append(df.columns) or real(df, *a))
+    _, judge = scans.judged(df)
+    assert read.count(["text"]) == 1
+    assert judge.facts == {("y", "re\t\tuse"): "own"}
+    assert {r.key for r in scans.corpus_counts(df, scans.DEFAULT).filter("kind = 'y'").collect()} == {"re\t\tuse", "un\t\tknown"}
+    assert scans.corpus_counts(df).filter("kind = 'y'").count() == 0
+
+
+def test_noise_without_the_text(monkeypatch):
+    """Kinds and header lines are the same where the repaired text isn't asked for; plain wrapped lines need no class then."""
+    import random
+
+    judge = scans.Judged({("y", "rule\t\tbased"): "own", ("t", "1ikely"): "likely", ("m", "平坷句"): "均"}, {"平": 500, "均": 500, "句": 500, "长": 500, "坷": 1})
+    rnd = random.Random(1)
+    bits = ["rule-\n", "based", "\n", "12\n", "THE TITLE", "a b", "| x | y |\n", "- item\n", "平坷句长", "。", "カ\n", "é", "\u0301", " ", "\t", "\u3000", "1ikely", "word\xad\n", "sized", "\r\n", "<b>"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))) for _ in range(5000)]
+    assert {k for t in texts for k in scans.examine(t, judge)[0]} == {"hyphen", "ocr_char", "page_number"}
+    for t in texts:
+        assert scans.examine(t, judge, whole=False)[:2] == scans.examine(t, judge)[:2], t
+    monkeypatch.setattr(scans, "content_class", None)
+    assert scans.examine("it is 1ikely that the glossary merges\nhalf of the section", judge, whole=False)[:2] == ({"ocr_char"}, [])
+
+
+def test_blank_texts_with_line_breaks_stay():
+    for text in ("\n", " \n\t\n", "   ", "\u3000"):
+        for whole in (True, False):
+            assert scans.examine(text, scans.Judged({}, {}), whole=whole) == (set(), [], text)
+
+
+def test_words_by_pieces():
+    """No word goes over a blank, so words may be sought in what stands between blanks."""
+    import sys
+
+    blanks = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+    assert not any(scans.WORD.fullmatch(f"a{c}b") or scans.WORD.search(c) for c in blanks)
+    for text in ("it's a rule-based\tone,\nwell--known –x’y", "naïve e\u0301t. правило-основа\u00a0это 平均x句长 カa", "", " \n"):
+        whole = text if text.isascii() else scans._form(text)
+        assert [w for p in scans.pieces_of(text) for w in scans.WORD.findall(p)] == scans.WORD.findall(whole)
+
+
+def test_best_labels_by_brute_force():
+    import itertools
+
+    one = scans.Lines("the section merges\n12\nTHE TABLE CELLS\nhalf of the sec-\ntion because it is", scans.Judged({}, {}), scans.DEFAULT)
+    every, after = [scans.DEFAULT.scores(f) for f in one.features], scans.DEFAULT.steps
+    best = max(itertools.product(range(4), repeat=5), key=lambda y: sum(every[i][y[i]] for i in range(5)) + sum(after[y[i - 1]][y[i]] for i in range(1, 5)))
+    assert one.labels == list(best) == [scans.BODY, scans.NUMBER, scans.HEAD, scans.BROKEN, scans.BODY]
+
+
 def test_line_model_by_brute_force():
     """Label shares and pair counts of the chain against a sum over all labellings; a fit without texts is the prior."""
     import itertools
